@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, token_counts, tokenizing, url_filter, wavelet
+from . import decontaminate, mixing, token_counts, tokenizing, url_filter, wavelet
 from .common import documents
 
 
@@ -23,6 +23,11 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(url_filter.read_pages(spark, sf_dir)).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(documents(spark, sf_dir), key="doc_id", sources=F.array("source"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "repeats", "pattern")
@@ -32,6 +37,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_output": op3_token_output,
     "op4_token_counts": op4_token_counts,
     "op5_url_filter": op5_url_filter,
+    "op6_decontaminate": op6_decontaminate,
     "op10_mixing": op10_mixing,
 }
 
