@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, jaccard, mixing, token_counts, tokenizing, url_filter, wavelet
+from . import decontaminate, fingerprints, html_text, jaccard, line_dedup, mixing, token_counts, tokenizing, toxicity, url_filter, wavelet
 from .common import documents
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove_boilerplate(documents(spark, sf_dir))
+
+
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.token_output(documents(spark, sf_dir), tokenizer=tokenizing.vocabulary_path("byte_bpe_50k.json"))
 
@@ -28,6 +36,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(documents(spark, sf_dir))
 
@@ -42,13 +54,16 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op2_line_dedup": op2_line_dedup,
     "op3_token_output": op3_token_output,
     "op4_token_counts": op4_token_counts,
     "op5_url_filter": op5_url_filter,
     "op6_decontaminate": op6_decontaminate,
+    "op7_html_text": op7_html_text,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_fingerprints": op9_fingerprints,
     "op10_mixing": op10_mixing,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op2_line_dedup": line_dedup.oracle()}
