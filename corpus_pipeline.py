@@ -1,14 +1,60 @@
-"""Corpus pipeline: documents through five stages, each calling one operator of the llm subpackage."""
+"""Corpus pipeline: documents through five stages, each calling one operator of the llm subpackage.
+
+Toxic documents go, one document of each group of near duplicates stays, documents with benchmark passages go, the rest is mixed to target weights (a row for each
+time that a document is taken), and the mix is written as token shards. ``doc_id`` identifies a document.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from cueline.llm import decontaminate, jaccard, mixing, tokenizing, toxicity, wavelet
 from cueline.llm.common import Staged, documents
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+
+def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the toxicity model, trained on the labelled documents among them, does not reject."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.keep_clean(docs, toxicity.train(toxicity.training_rows(docs, labels)))
+
+
+def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least doc_id of each group that links join; a repeated row stays once."""
+    groups = jaccard.near_duplicates(docs)
+    kept = Staged(groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct(), "kept").df
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi").dropDuplicates(["doc_id"])
+
+
+def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without an occurrence of a benchmark window."""
+    found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    hit = Staged(found.filter("contaminated").select(F.col("doc_id").alias("hit")).distinct(), "contaminated").df
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("hit")), "left_anti")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each time that the mix takes a document."""
+    mixed = mixing.mix(docs, key="doc_id", sources=F.array("source"))
+    taken = Staged(mixed.groupBy(F.col("doc_id").alias("taken_id")).agg(F.max("repeats").alias("repeats")).filter("repeats > 0"), "taken").df
+    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("taken_id")))
+    return rows.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select(*docs.columns)
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix as token shards; what the files hold of each row."""
+    return wavelet.token_output(docs, tokenizer=tokenizing.vocabulary_path("byte_bpe_50k.json"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", remove_toxic),
+    ("near_duplicates", remove_near_duplicates),
+    ("decontamination", remove_contaminated),
+    ("mixing", mix_sources),
+    ("token_output", write_tokens),
+]
 
 #: The stages learn weights, follow links and write token files: SQL can't express their rows.
 ORACLE_SQL = None

@@ -84,7 +84,7 @@ class Scorer:
         return min(1.0, max(0.0, float(self.model.score([plain, *sorted({p for _, _, p in found})])))), found
 
 
-def train(rows: list[tuple[str, int]], *, steps: int = 400, rate: float = 0.05, decay: float = 1e-3) -> Model:
+def train(rows: list[tuple[str, int]], *, steps: int = 400, rate: float = 0.05, decay: float = 3.0) -> Model:
     """Fit weights, bias and leak to (text, label) rows by Adam on the noisy-or likelihood; equal rows give an equal model."""
     labels = np.array([y for _, y in rows], float)
     if not len(rows) or labels.min() == labels.max():
@@ -94,7 +94,7 @@ def train(rows: list[tuple[str, int]], *, steps: int = 400, rate: float = 0.05,
     for bag, y in zip(bags, labels, strict=True):
         (toxic if y else clean).update(set().union(*bag))
     n1, n0 = labels.sum(), (1 - labels).sum()
-    lift = {f: (n + 0.5) / (n1 + 1) / ((clean[f] + 0.5) / (n0 + 1)) for f, n in toxic.items() if n >= 2}
+    lift = {f: (n + 0.5) / (n1 + 1) / ((clean[f] + 0.5) / (n0 + 1)) for f, n in toxic.items() if n >= max(2, n1 / 100)}
     kept = sorted((f for f, x in lift.items() if x >= 3), key=lambda f: (-lift[f] * np.log1p(toxic[f]), f))[:MAX_FEATURES]
     number = {f: i for i, f in enumerate(kept)}
     doc, sent, col = [], [], []
@@ -118,7 +118,7 @@ def train(rows: list[tuple[str, int]], *, steps: int = 400, rate: float = 0.05,
         push = np.where(labels > 0, -np.exp(log_clean) / whole, 1.0)  # of the loss against -log of (1 - chance)
         g = p * push[doc]
         grad = np.concatenate([np.bincount(col, weights=g[sent], minlength=len(kept)), [g.sum(), leak * push.sum()]]) / len(rows)
-        grad[:-2] += decay * rare * w[:-2]
+        grad[:-2] += decay * rare * w[:-2] / len(rows)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w = w - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w[-1] = min(w[-1], -2.5)
@@ -171,6 +171,19 @@ def score_documents(docs: DataFrame, model: Model, *, key: str = "doc_id", text:
     return out.withColumnRenamed("key", key)
 
 
+def keep_clean(docs: DataFrame, model: Model, *, text: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows, with all their columns, whose score is below the threshold."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for b in batches:
+            yield b.filter(pa.array([scorer.document(t.as_py() or "")[0] < threshold for t in b.column(text)], pa.bool_()))
+
+    return docs.mapInArrow(clean, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = 0.7) -> DataFrame:
     """Train on the labelled rows that are not held out, and score every row (see ``score_documents``)."""
     return score_documents(docs, train(training_rows(docs, labels, key=key, text=text, label=label)), key=key, text=text, threshold=threshold)
