@@ -92,7 +92,10 @@ def text_items(results: DataFrame) -> DataFrame:
     points, corners = _first(v, "array<array<array<double>>>", *names), _first(v, "array<array<double>>", *names)
     rows = rows.select("job_id", "pos", "item", F.posexplode(F.filter(texts, lambda t: t.isNotNull())).alias("place", "text"), scores.alias("scores"), points.alias("points"), corners.alias("corners"))
     none = F.expr("CAST(array() AS ARRAY<ARRAY<DOUBLE>>)")
-    box = F.coalesce(F.get("points", "place"), T.corner_points(F.get("corners", "place")), none)
+    # a value that does not fit the asked type comes as null, inside arrays too
+    corner, poly = F.get("corners", "place"), F.get("points", "place")
+    flat = F.when((F.size(corner) == 4) & F.forall(corner, lambda x: x.isNotNull()), T.corner_points(corner))
+    box = F.coalesce(flat, F.when(F.forall(poly, lambda p: p.isNotNull()), poly), none)
     w = Window.partitionBy("job_id", "pos").orderBy("item", "place")
     return rows.select("job_id", "pos", (F.row_number().over(w) - 1).alias("idx"), "text", F.coalesce(F.get("scores", "place"), F.lit(0.0)).alias("score"), box.alias("box"))
 

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as Y
 
 from cueline.functions import text as T
 
@@ -46,7 +47,10 @@ def _align(text_parts: list[str], chars: list[tuple[str, float, float]], start:
     return out or [{"text": "".join(text_parts), "start": start, "end": end}]
 
 
-@F.pandas_udf("array<struct<text: string, start: double, end: double>>")
+_TIMED = Y.ArrayType(Y.StructType([Y.StructField("text", Y.StringType()), Y.StructField("start", Y.DoubleType()), Y.StructField("end", Y.DoubleType())]))
+
+
+@F.pandas_udf(_TIMED)
 def _aligned(rows: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
     for parts, texts, starts, ends in rows:
         yield pd.Series(

@@ -39,37 +39,36 @@ def rows_of(ddl: str) -> T.StructType:
 @dataclass(frozen=True)
 class Rule:
     name: str
-    holds: Column
+    holds: str  # SQL
 
 
 def interval_rules(strict: bool = True) -> list[Rule]:
-    c = F.col
-    rules = [Rule("start is 0 or more", c("start") >= 0), Rule("end is above 0", c("end") > 0)]
-    return [*rules, Rule("end is after start", c("end") > c("start"))] if strict else rules
+    rules = [Rule("start is 0 or more", "start >= 0"), Rule("end is above 0", "`end` > 0")]
+    return [*rules, Rule("end is after start", "`end` > start")] if strict else rules
 
 
 def share_rule(name: str) -> Rule:
-    return Rule(f"{name} is between 0 and 1", F.col(name).isNull() | F.col(name).between(0, 1))
+    return Rule(f"{name} is between 0 and 1", f"{name} IS NULL OR {name} BETWEEN 0 AND 1")
 
 
 def decision_rule() -> Rule:
-    return Rule("decision is keep or delete", F.col("decision").isin("keep", "delete"))
+    return Rule("decision is keep or delete", "decision IN ('keep', 'delete')")
 
 
 RULES = {
     "segments": interval_rules(),
-    "sentences": [*interval_rules(), Rule("pause_after is 0 or more", F.coalesce(F.col("pause_after"), F.lit(0.0)) >= 0)],
-    "blocks": [*interval_rules(), Rule("sentence_count is above 0", F.col("sentence_count") > 0)],
+    "sentences": [*interval_rules(), Rule("pause_after is 0 or more", "coalesce(pause_after, 0) >= 0")],
+    "blocks": [*interval_rules(), Rule("sentence_count is above 0", "sentence_count > 0")],
     "timeline": [*interval_rules(), decision_rule(), share_rule("confidence")],
     "edit_decisions": [decision_rule(), share_rule("confidence")],
-    "samples": [Rule("timestamp is 0 or more", F.col("timestamp") >= 0), share_rule("score")],
+    "samples": [Rule("timestamp is 0 or more", "timestamp >= 0"), share_rule("score")],
     "ranges": interval_rules(strict=False),
 }
 
 
 def broken(rules: list[Rule]) -> Column:
     """Names of the rules that a row breaks; a null outcome breaks a rule."""
-    return F.filter(F.array(*[F.when(F.coalesce(r.holds, F.lit(False)), None).otherwise(F.lit(r.name)) for r in rules]), lambda n: n.isNotNull())
+    return F.filter(F.array(*[F.when(F.coalesce(F.expr(r.holds), F.lit(False)), None).otherwise(F.lit(r.name)) for r in rules]), lambda n: n.isNotNull())
 
 
 def validated(df: DataFrame, rules: list[Rule]) -> DataFrame:

@@ -14,6 +14,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as Y
 
 
 class MediaError(RuntimeError):
@@ -157,11 +158,11 @@ def _frames(frames: pd.Series, heights: pd.Series, widths: pd.Series) -> Iterato
         yield np.frombuffer(raw, np.uint8).reshape(int(h), int(w), 3)
 
 
-@F.pandas_udf("array<bigint>")
+@F.pandas_udf(Y.ArrayType(Y.LongType()))
 def signature_of(frames: pd.Series, heights: pd.Series, widths: pd.Series) -> pd.Series:
     return pd.Series([frame_signature(f) for f in _frames(frames, heights, widths)], dtype=object)
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(Y.ArrayType(Y.IntegerType()))
 def box_of(frames: pd.Series, heights: pd.Series, widths: pd.Series) -> pd.Series:
     return pd.Series([(b := subtitle_box(f)) and list(b) for f in _frames(frames, heights, widths)], dtype=object)
