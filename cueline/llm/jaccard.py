@@ -183,20 +183,29 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     empty = rows.df.filter("kind = 0 AND n = 0").select("key", "n", F.col("key").alias("component_id"))
 
     lead = Staged(_leading_rows(docs.select("text"), _common(rows.df), width, percent).select(node, "n", "p", "place", "columns"), "leading")
-    index = lead.df.select("node", "n", "p", "place", F.explode("columns").alias("gram"))
-    several = index.groupBy("gram").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("gram")
-    index = Staged(index.join(several, "gram").distinct(), "index")
-    lead.drop()
+    index = lead.df.select("node", F.explode("columns").alias("gram"))
+    several = index.groupBy("gram").agg(F.count("*").alias("rows")).filter("rows > 1").select("gram")
+    # copies of a class that two tasks saw meet by column and row, so a column of many rows is no single task
+    index = Staged(index.join(several, "gram").repartition("gram", "node").distinct(), "index")
     degree = index.df.groupBy("node").agg(F.count("*").alias("s"))
-    full = Staged(index.df.join(degree, "node"), "columns")
-    index.drop()
+    full = Staged(index.df.join(lead.df.select("node", "n", "p", "place").distinct().join(degree, "node"), "node"), "columns")
+    for t in (lead, index):
+        t.drop()
     named = lambda df, s: df.select("gram", *[F.col(c).alias(f"{s}_{c}") for c in df.columns if c != "gram"])
 
-    sets = Staged(_sets(docs, full.df.select("node").distinct(), members, salt, width), "sets")
+    def links_among(entries: DataFrame) -> Staged:
+        pairs = Staged(_accumulate(entries, percent), "pairs")
+        nodes = Staged(pairs.df.select(F.explode(F.array("a_node", "b_node")).alias("node")).distinct(), "nodes")
+        sets = Staged(_sets(docs, nodes.df, members, salt, width), "sets")
+        links = Staged(_complete(pairs.df, sets.df, percent), "links")
+        for t in (pairs, nodes, sets):
+            t.drop()
+        return links
+
     # a column's most central row is the one with the fewest columns of its own
     centre = full.df.groupBy("gram").agg(F.min(F.struct((F.col("p") - F.col("s")).alias("own"), "node", "n", "p", "place", "s")).alias("c"))
     star = named(full.df, "a").join(named(centre.select("gram", "c.node", "c.n", "c.p", "c.place", "c.s"), "b"), "gram").filter("a_node <> b_node")
-    links = Staged(_complete(_accumulate(star, percent), sets.df, percent), "star")
+    links = links_among(star)
     labels = components(links.df)
 
     known = full.df.join(labels.df, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -205,11 +214,11 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     groups = known.df.select("gram", "comp").distinct()
     crossed = groups.select("gram", F.col("comp").alias("a_comp")).join(groups.select("gram", F.col("comp").alias("b_comp")), "gram").filter("a_comp < b_comp")
     crossed = crossed.join(named(known.df, "a"), ["gram", "a_comp"]).join(named(known.df, "b"), ["gram", "b_comp"])
-    rest = _complete(_accumulate(crossed, percent), sets.df, percent)
-    links2 = Staged(links.df.union(rest), "all-links")
-    labels.drop()
-    labels = components(links2.df)
-    for t in (links, links2, known, full, sets):
+    more = links_among(crossed)
+    if not more.df.isEmpty():
+        labels.drop()
+        labels = components(links.df.union(more.df))
+    for t in (links, more, known, full):
         t.drop()
 
     classes = members.groupBy("node").agg(F.min("key").alias("own"))
