@@ -7,8 +7,9 @@ in an Arrow kernel per stretch.
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,22 +102,38 @@ class Event:
         return False
 
 
-def _events(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["ts", "pos"], kind="stable")
-    event, number, out = Event(), 0, []
-    for text, score in zip(rows["text"], rows["score"], strict=True):
-        if event.n and not event.takes(text):
-            event, number = Event(), number + 1
-        event.add(text, score)
-        out.append(number)
-    rows = rows.assign(event=out)
-    made = []
-    for k, part in rows.groupby("event", sort=True):
-        e = Event()
-        for text, score in zip(part["text"], part["score"], strict=True):
-            e.add(text, score)
-        made.append((part["job_id"].iloc[0], int(part["stretch"].iloc[0]), k, part["ts"].iloc[0], part["ts"].iloc[-1], e.vote(), float(part["score"].mean()), len(part)))
-    return pd.DataFrame(made, columns=["job_id", "stretch", "event", "first_ts", "last_ts", "text", "score", "n"])
+def _events(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Events of sorted samples: a stretch's rows follow one another, over batches too."""
+    at, number = None, 0
+    event, first, last, total = Event(), 0.0, 0.0, 0.0
+    job_type = None
+    done: list[tuple] = []
+
+    def close() -> None:
+        if event.n:
+            done.append((*at, number, first, last, event.vote(), total / event.n))
+
+    def batch() -> pa.RecordBatch:
+        types = [job_type, pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.float64()]
+        columns = list(zip(*done, strict=True)) if done else [()] * len(types)
+        made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["job_id", "stretch", "event", "first_ts", "last_ts", "text", "score"])
+        done.clear()
+        return made
+
+    for b in batches:
+        job_type = b.schema.field("job_id").type
+        for row in zip(*(b.column(c).to_pylist() for c in ("job_id", "stretch", "ts", "text", "score")), strict=True):
+            place, (ts, text, score) = row[:2], row[2:]
+            if place != at or not event.takes(text):
+                close()
+                number = 0 if place != at else number + 1
+                at, event, first, total = place, Event(), ts, 0.0
+            event.add(text, score)
+            last, total = ts, total + score
+        yield batch()
+    close()
+    if done:
+        yield batch()
 
 
 def merge_samples(samples: DataFrame, *, interval: float, min_duration: float = 0.4, max_gap: float | None = None) -> DataFrame:
@@ -125,10 +142,11 @@ def merge_samples(samples: DataFrame, *, interval: float, min_duration: float =
     Samples are taken by time. Near readings of one text make an event, which a vote names; events shorter than ``min_duration`` are dropped.
     """
     gap_limit = interval * 1.5 if max_gap is None else max_gap
-    parted = hard_stretches(samples, gap_limit=gap_limit, interval=interval).select("job_id", "stretch", "pos", "ts", "text", "score")
+    parted = hard_stretches(samples, gap_limit=gap_limit, interval=interval)
+    parted = parted.select("job_id", "stretch", "pos", F.col("ts").cast("double").alias("ts"), "text", F.col("score").cast("double").alias("score"))
     kind = samples.schema["job_id"].dataType.simpleString()
-    schema = f"job_id {kind}, stretch long, event long, first_ts double, last_ts double, text string, score double, n long"
-    events = parted.groupBy("job_id", "stretch").applyInPandas(_events, schema)
+    schema = f"job_id {kind}, stretch long, event long, first_ts double, last_ts double, text string, score double"
+    events = parted.repartition("job_id", "stretch").sortWithinPartitions("job_id", "stretch", "ts", "pos").mapInArrow(_events, schema)
     events = events.withColumn("last_ts", F.col("last_ts") + interval).filter(F.col("last_ts") - F.col("first_ts") >= min_duration)
     pos = F.row_number().over(Window.partitionBy("job_id").orderBy("stretch", "event")) - 1
     return events.select("job_id", pos.cast("long").alias("pos"), F.bround("first_ts", 3).alias("start"), F.bround("last_ts", 3).alias("end"), "text", F.bround("score", 4).alias("score"))

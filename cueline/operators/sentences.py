@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as Y
@@ -88,25 +89,27 @@ def sentence_index(segments: DataFrame) -> DataFrame:
 def number_blocks(sentences: DataFrame, *, min_duration: float = 20, max_duration: float = 60, split_pause: float = 1.2) -> DataFrame:
     """block_no of each sentence (job_id, pos, start, end, text, pause_after), from 1.
 
-    The rule looks at the running block's first sentence, so a job is folded in order: once, over its sorted rows, in one aggregate per job
-    whose state keeps the block's numbers only.
+    The rule looks at the running block's first sentence, so a job is folded in order: once, over sorted rows that pass through in Arrow batches.
     """
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos", kind="stable")
-        number, first, numbers = 0, None, []
-        last_end = last_pause = 0.0
-        for start, end, opens, pause in zip(rows["start"], rows["end"], rows["opens"], rows["pause_after"], strict=True):
-            long = first is not None and last_end - first >= min_duration
-            if first is None or long and last_pause >= split_pause or end - first > max_duration or long and opens:
-                number, first = number + 1, start
-            numbers.append(number)
-            last_end, last_pause = end, pause
-        return rows.assign(block_no=numbers)[["job_id", "pos", "block_no"]]
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        job, number, first, last_end, last_pause = None, 0, None, 0.0, 0.0
+        for b in batches:
+            numbers = []
+            for now, start, end, opens, pause in zip(*(b.column(c).to_pylist() for c in ("job_id", "start", "end", "opens", "pause_after")), strict=True):
+                if first is None or now != job:
+                    job, number, first = now, 1, start
+                else:
+                    long = last_end - first >= min_duration
+                    if long and last_pause >= split_pause or end - first > max_duration or long and opens:
+                        number, first = number + 1, start
+                numbers.append(number)
+                last_end, last_pause = end, pause
+            yield pa.RecordBatch.from_arrays([b.column("job_id"), b.column("pos"), pa.array(numbers, pa.int64())], ["job_id", "pos", "block_no"])
 
     kind = sentences.schema["job_id"].dataType.simpleString()
-    narrow = sentences.select("job_id", "pos", "start", "end", T.opens_section(F.col("text")).alias("opens"), "pause_after")
-    numbers = narrow.groupBy("job_id").applyInPandas(fold, f"job_id {kind}, pos long, block_no long")
+    narrow = sentences.select("job_id", F.col("pos").cast("long").alias("pos"), "start", "end", T.opens_section(F.col("text")).alias("opens"), "pause_after")
+    numbers = narrow.repartition("job_id").sortWithinPartitions("job_id", "pos").mapInArrow(fold, f"job_id {kind}, pos long, block_no long")
     return sentences.join(numbers, ["job_id", "pos"])
 
 
