@@ -57,6 +57,28 @@ def read_frames(frames: DataFrame, make: Callable[[], Recognizer], *, name: str
     return frames.select("job_id", "pos", "ts", "image", "mode").mapInArrow(run, f"job_id {kind}, pos long, ts double, idx int, text string, score double, box array<array<double>>")
 
 
+def read_speech(audio: DataFrame, make: Callable[[], Callable[[bytes], str]], *, name: str = "speech") -> DataFrame:
+    """(job_id, payload) of sound (job_id, content binary): what a speech model, made once per Python worker, says as JSON; ``speech_segments`` reads it."""
+    kind = audio.schema["job_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if name not in _ready:
+            _ready[name] = make()
+        for b in batches:
+            said = [_ready[name](v.as_py()) for v in b.column("content")]
+            yield pa.RecordBatch.from_arrays([b.column("job_id"), pa.array(said, pa.string())], ["job_id", "payload"])
+
+    return audio.select("job_id", "content").mapInArrow(run, f"job_id {kind}, payload string")
+
+
+def engine(name: str) -> Callable[[], Recognizer]:
+    """The maker of a registered engine."""
+    known = check_engine(name)
+    if known not in _engines:
+        raise RuntimeError(f"no engine is registered for {known!r}; call register_engine")
+    return _engines[known]
+
+
 def reading_mode(crop_height: Column, rec_only: bool = True) -> Column:
     """How a frame is read: a found text crop of fitting height alone, the frame as one line, or in full."""
     if not rec_only:

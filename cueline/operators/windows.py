@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +37,54 @@ def dedupe_frames(frames: DataFrame, *, threshold: int = 16, fast: bool = True)
     return df.withColumns({"action": action, "source_pos": F.when(F.col("signature").isNotNull(), source)}).drop("_far", "island")
 
 
+def dedupe_frame_arrays(frames: DataFrame, *, threshold: int = 128, cache: bool = False) -> DataFrame:
+    """Like ``dedupe_frames`` for frames with a crop: columns (job_id, pos, ts, signature[, range_no, crop_signature, crop_height]).
+
+    A frame without a full signature is skipped. A crop of fitting height replaces the frame, and its signature, if there is one, is the one compared; mode tells
+    how the frame is to be read. Comparison starts anew with each range. With ``cache`` a signature that was read before in the job, in whatever range, is 'cached' and
+    becomes the source that later frames are compared with; only frames that are read enter the cache. Rows pass through sorted, so a worker holds one job's cache.
+    """
+    from cueline.operators.recognition import reading_mode
+
+    for name, kind in (("range_no", "long"), ("crop_signature", "array<bigint>"), ("crop_height", "int")):
+        if name not in frames.columns:
+            frames = frames.withColumn(name, F.lit(None).cast(kind))
+    mode = F.coalesce(reading_mode(F.col("crop_height")), F.lit("rec_frame"))
+    match = F.when(mode == "rec_crop", F.coalesce("crop_signature", "signature")).otherwise(F.col("signature"))
+    rows = frames.select("job_id", F.coalesce("range_no", F.lit(0)).cast("long").alias("range_no"), "pos", "ts", mode.alias("mode"), F.when(F.col("signature").isNotNull(), match).alias("match"))
+    kind = frames.schema["job_id"].dataType.simpleString()
+
+    def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        job, part, last, source, known = None, None, None, None, {}
+        for b in batches:
+            actions, sources = [], []
+            for now, at, pos, match in zip(*(b.column(c).to_pylist() for c in ("job_id", "range_no", "pos", "match")), strict=True):
+                if now != job:
+                    job, part, known = now, None, {}
+                if at != part:
+                    part, last, source = at, None, None
+                if match is None:
+                    last = source = None
+                    actions.append("skipped")
+                elif cache and tuple(match) in known:
+                    last, source = match, known[tuple(match)]
+                    actions.append("cached")
+                elif last is not None and len(last) == len(match) and sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(last, match, strict=True)) <= threshold:
+                    last = match
+                    actions.append("reused")
+                else:
+                    last, source = match, pos
+                    known[tuple(match)] = pos
+                    actions.append("ocr")
+                sources.append(source)
+            kept = ("job_id", "range_no", "pos", "ts", "mode")
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(actions, pa.string()), pa.array(sources, pa.int64())], [*kept, "action", "source_pos"])
+
+    rows = rows.withColumn("pos", F.col("pos").cast("long")).withColumn("ts", F.col("ts").cast("double"))
+    dealt = rows.repartition("job_id").sortWithinPartitions("job_id", "range_no", "ts", "pos")
+    return dealt.mapInArrow(plan, f"job_id {kind}, range_no long, pos long, ts double, mode string, action string, source_pos long")
+
+
 def backfill(planned: DataFrame, read: DataFrame) -> DataFrame:
     """Give each frame the text and score read from its source frame (job_id, pos, text, score); blank without one."""
     read = read.select("job_id", F.col("pos").alias("source_pos"), "text", "score")
@@ -43,7 +94,7 @@ def backfill(planned: DataFrame, read: DataFrame) -> DataFrame:
 
 def dedupe_stats(planned: DataFrame) -> DataFrame:
     count = lambda a: F.count_if(F.col("action") == a).alias(a)
-    return planned.groupBy("job_id").agg(count("ocr"), count("skipped"), count("reused"))
+    return planned.groupBy("job_id").agg(count("ocr"), count("skipped"), count("reused"), count("cached"))
 
 
 def coalesce_ranges(ranges: DataFrame) -> DataFrame:

@@ -129,6 +129,11 @@ def frame_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _planned(spark, sf_dir).select("job_id", "pos", "ts", "action", "source_pos")
 
 
+@query(f"WITH {_FRAMES} SELECT job_id, pos, ts::DOUBLE AS ts, action, source_pos FROM planned")
+def frame_array_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.dedupe_frame_arrays(V.frames(spark, sf_dir), threshold=28).select("job_id", "pos", "ts", "action", "source_pos")
+
+
 @query(f"WITH {_FRAMES} SELECT job_id, pos, ts, 'text ' || source_pos AS text, source_pos % 10 / 10 AS score FROM planned")
 def frame_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = _planned(spark, sf_dir)
@@ -136,7 +141,7 @@ def frame_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.backfill(planned, read)
 
 
-@query(f"WITH {_FRAMES} SELECT job_id, count(*) FILTER (WHERE action = 'ocr') AS ocr, 0::BIGINT AS skipped, count(*) FILTER (WHERE action = 'reused') AS reused FROM planned GROUP BY job_id")
+@query(f"WITH {_FRAMES} SELECT job_id, count(*) FILTER (WHERE action = 'ocr') AS ocr, 0::BIGINT AS skipped, count(*) FILTER (WHERE action = 'reused') AS reused, 0::BIGINT AS cached FROM planned GROUP BY job_id")
 def dedupe_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.dedupe_stats(_planned(spark, sf_dir))
 
