@@ -5,9 +5,9 @@ accumulated column block by column block: first over each row's leading columns,
 very common n-grams last; an entry whose partial count and sizes cannot reach the similarity is discarded, and only
 the rest is completed over all columns. Two rows above the similarity share a leading column, so no link is lost.
 
-A column's rows are not multiplied with one another at once: each column first meets its most central row (a
-star), links found so join rows to components, and only rows of different components in a column are multiplied after that.
-Large groups of near copies so cost a product per row and column, while every two rows that could link two components are still compared.
+A column's rows are not multiplied with one another at once: each column first meets its few most central rows
+(stars), links found so join rows to components, and only rows of different components in a column are multiplied after that.
+Large groups of near copies so cost a few products per row and column, while every two rows that could link two components are still compared.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Staged, small_batches
@@ -26,6 +26,8 @@ from .shingles import shingle_sets
 
 #: N-grams at most that are put last in the column order (2 MB on each executor), the documents that one must be seen in at least.
 MAX_COMMON, LEAST_COMMON = 1 << 18, 8
+#: Rows of a column that all its other rows are multiplied with at first.
+CENTRES = 8
 #: N-grams whose local counts a task holds at once.
 HELD_GRAMS = 2_000_000
 #: Keys (8 bytes each) up to which texts are looked up by a broadcast instead of an exchange of the texts.
@@ -202,9 +204,11 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
             t.drop()
         return links
 
-    # a column's most central row is the one with the fewest columns of its own
-    centre = full.df.groupBy("gram").agg(F.min(F.struct((F.col("p") - F.col("s")).alias("own"), "node", "n", "p", "place", "s")).alias("c"))
-    star = named(full.df, "a").join(named(centre.select("gram", "c.node", "c.n", "c.p", "c.place", "c.s"), "b"), "gram").filter("a_node <> b_node")
+    # central rows are those with the fewest columns of their own; each task keeps a few of a column before the exchange
+    ranked = full.df.withColumn("own", F.col("p") - F.col("s"))
+    centre = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("gram").orderBy("own", "node"))).filter(F.col("rank") <= CENTRES).drop("rank")
+    outer = (F.col("a_own") > F.col("b_own")) | ((F.col("a_own") == F.col("b_own")) & (F.col("a_node") > F.col("b_node")))
+    star = named(ranked, "a").join(named(centre, "b"), "gram").filter(outer)
     links = links_among(star)
     labels = components(links.df)
 
