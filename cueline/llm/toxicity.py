@@ -89,18 +89,26 @@ def train(rows: list[tuple[str, int]], *, steps: int = 400, rate: float = 0.05,
     labels = np.array([y for _, y in rows], float)
     if not len(rows) or labels.min() == labels.max():
         return Model({}, -30.0, float(labels.mean()) if len(rows) else 0.0)
-    bags = [[{f for w in WORD.findall(m.group().lower()) for f in word_features(w)} for m in SENTENCE.finditer(t)] for t, _ in rows]
-    toxic, clean = Counter(), Counter()
-    for bag, y in zip(bags, labels, strict=True):
-        (toxic if y else clean).update(set().union(*bag))
     n1, n0 = labels.sum(), (1 - labels).sum()
-    lift = {f: (n + 0.5) / (n1 + 1) / ((clean[f] + 0.5) / (n0 + 1)) for f, n in toxic.items() if n >= max(2, n1 / 100)}
+    # a feature needs toxic documents, so those alone give candidates; texts are read again rather than kept as sets
+    toxic, clean = Counter(), Counter()
+    for text, y in rows:
+        if y:
+            toxic.update({f for w in set(WORD.findall(text.lower())) for f in word_features(w)})
+    toxic = {f: n for f, n in toxic.items() if n >= max(2, n1 / 100)}
+    for text, y in rows:
+        if not y:
+            clean.update({f for w in set(WORD.findall(text.lower())) for f in word_features(w) if f in toxic})
+    lift = {f: (n + 0.5) / (n1 + 1) / ((clean[f] + 0.5) / (n0 + 1)) for f, n in toxic.items()}
     kept = sorted((f for f, x in lift.items() if x >= 3), key=lambda f: (-lift[f] * np.log1p(toxic[f]), f))[:MAX_FEATURES]
     number = {f: i for i, f in enumerate(kept)}
     doc, sent, col = [], [], []
     n = 0
-    for d, bag in enumerate(bags):
-        for known in sorted({tuple(sorted(number[f] for f in s if f in number)) for s in bag}) or [()]:
+    for d, (text, _) in enumerate(rows):
+        bag = set()
+        for m in SENTENCE.finditer(text):
+            bag.add(tuple(sorted({number[f] for w in set(WORD.findall(m.group().lower())) for f in word_features(w) if f in number})))
+        for known in sorted(bag) or [()]:
             doc.append(d)
             sent += [n] * len(known)
             col += known
