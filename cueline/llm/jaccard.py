@@ -76,8 +76,8 @@ def _rows(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(scan, "kind int, key long, n long, cls binary, gram long")
 
 
-def _common(rows: DataFrame) -> np.ndarray:
-    """The n-grams seen in most documents, sorted; as many as MAX_COMMON allows."""
+def _common(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams seen in most documents, sorted, and the place of each by rising count; as many as MAX_COMMON allows."""
     seen = rows.filter("kind = 1").groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_COMMON)
     steps = seen.groupBy(F.floor(F.log2("n")).alias("step")).count().collect()  # at most 64 rows
     least, total = 1 << 62, 0
@@ -86,8 +86,12 @@ def _common(rows: DataFrame) -> np.ndarray:
         if total > MAX_COMMON:
             break
         least = 1 << r["step"]
-    found = [r[0] for r in seen.filter(F.col("n") >= least).select("gram").collect()]
-    return np.sort(np.array(found, np.int64).view(np.uint64))
+    found = seen.filter(F.col("n") >= least).select("gram", "n").collect()
+    grams, counts = np.array([r[0] for r in found], np.int64).view(np.uint64), np.array([r[1] for r in found], np.int64)
+    place = np.empty(len(grams), np.int64)
+    place[np.lexsort((grams, counts))] = np.arange(len(grams))
+    order = np.argsort(grams)
+    return grams[order], place[order]
 
 
 def _salt(rows: DataFrame) -> int:
@@ -99,12 +103,12 @@ def _salt(rows: DataFrame) -> int:
     return salt
 
 
-def _leading_rows(docs: DataFrame, common: np.ndarray, width: int, percent: int) -> DataFrame:
+def _leading_rows(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], width: int, percent: int) -> DataFrame:
     """cls, n, p and the leading columns of each class in a task; last: the place of the last leading column in the order."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late, known = shared.value, set()
+        (late, places), known = shared.value, set()
         for b in batches:
             out: list[tuple] = []
             for grams in shingle_sets(b.column("text"), width):
@@ -112,12 +116,12 @@ def _leading_rows(docs: DataFrame, common: np.ndarray, width: int, percent: int)
                 if not len(grams) or cls in known:
                     continue
                 known.add(cls)
-                last = np.zeros(len(grams), bool)
+                place = (grams >> np.uint64(2)).view(np.int64)  # rare n-grams by hash, then the common ones by count
                 if len(late):
-                    last = late[np.minimum(np.searchsorted(late, grams), len(late) - 1)] == grams
-                order, p = np.concatenate([grams[~last], grams[last]]), leading(len(grams), percent)
-                place = int(order[p - 1]) >> 2 | (1 << 62 if p > len(grams) - int(last.sum()) else 0)
-                out.append((cls, len(grams), p, place, order[:p].view(np.int64)))
+                    at = np.minimum(np.searchsorted(late, grams), len(late) - 1)
+                    place = np.where(late[at] == grams, (1 << 62) + places[at], place)
+                order, p = np.argsort(place, kind="stable"), leading(len(grams), percent)
+                out.append((cls, len(grams), p, int(place[order[p - 1]]), grams[order[:p]].view(np.int64)))
             cols = list(zip(*out, strict=True)) if out else [()] * 5
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cols[0], pa.binary()), *(pa.array(cols[i], pa.int64()) for i in (1, 2, 3)), pa.array(cols[4], pa.list_(pa.int64()))], ["cls", "n", "p", "place", "columns"]
@@ -134,6 +138,12 @@ def _possible(count: Column, percent: int) -> Column:
     return (100 + percent) * most >= percent * (F.col("a_n") + F.col("b_n"))
 
 
+def _needed(percent: int) -> Column:
+    """Whether a column shared by rows a and b is early enough in both: of two rows that share enough, some column lies among the first of each that they need not share."""
+    least = F.ceil(percent * (F.col("a_n") + F.col("b_n")) / (100 + percent))
+    return (F.col("a_at") <= F.col("a_n") - least) & (F.col("b_at") <= F.col("b_n") - least)
+
+
 def _accumulate(entries: DataFrame, percent: int) -> DataFrame:
     """Sum the entries (a_, b_, gram) of the product over the leading columns, and discard by size."""
     sides = [f"{s}_{c}" for s in "ab" for c in ("node", "n", "p", "place")]
@@ -185,7 +195,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     empty = rows.df.filter("kind = 0 AND n = 0").select("key", "n", F.col("key").alias("component_id"))
 
     lead = Staged(_leading_rows(docs.select("text"), _common(rows.df), width, percent).select(node, "n", "p", "place", "columns"), "leading")
-    index = lead.df.select("node", F.explode("columns").alias("gram"))
+    index = lead.df.select("node", F.posexplode("columns").alias("at", "gram"))
     several = index.groupBy("gram").agg(F.count("*").alias("rows")).filter("rows > 1").select("gram")
     # copies of a class that two tasks saw meet by column and row, so a column of many rows is no single task
     index = Staged(index.join(several, "gram").repartition("gram", "node").distinct(), "index")
@@ -195,8 +205,8 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         t.drop()
     named = lambda df, s: df.select("gram", *[F.col(c).alias(f"{s}_{c}") for c in df.columns if c != "gram"])
 
-    def links_among(entries: DataFrame) -> Staged:
-        pairs = Staged(_accumulate(entries, percent), "pairs")
+    def links_among(pairs: DataFrame) -> Staged:
+        pairs = Staged(pairs, "pairs")
         nodes = Staged(pairs.df.select(F.explode(F.array("a_node", "b_node")).alias("node")).distinct(), "nodes")
         sets = Staged(_sets(docs, nodes.df, members, salt, width), "sets")
         links = Staged(_complete(pairs.df, sets.df, percent), "links")
@@ -209,16 +219,17 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     centre = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("gram").orderBy("own", "node"))).filter(F.col("rank") <= CENTRES).drop("rank")
     outer = (F.col("a_own") > F.col("b_own")) | ((F.col("a_own") == F.col("b_own")) & (F.col("a_node") > F.col("b_node")))
     star = named(ranked, "a").join(named(centre, "b"), "gram").filter(outer)
-    links = links_among(star)
+    links = links_among(_accumulate(star, percent))
     labels = components(links.df)
 
+    # two rows of different components are not both in a column's largest one: its other rows meet all rows, and no row meets its own component
     known = full.df.join(labels.df, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    open_ = known.groupBy("gram").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("gram")
-    known = Staged(known.join(open_, "gram", "left_semi"), "open")
-    groups = known.df.select("gram", "comp").distinct()
-    crossed = groups.select("gram", F.col("comp").alias("a_comp")).join(groups.select("gram", F.col("comp").alias("b_comp")), "gram").filter("a_comp < b_comp")
-    crossed = crossed.join(named(known.df, "a"), ["gram", "a_comp"]).join(named(known.df, "b"), ["gram", "b_comp"])
-    more = links_among(crossed)
+    sizes = known.groupBy("gram", "comp").agg(F.count("*").alias("rows")).groupBy("gram")
+    largest = sizes.agg(F.max_by("comp", F.struct("rows", "comp")).alias("top"), F.count("*").alias("comps")).filter("comps > 1").select("gram", "top")
+    known = Staged(known.join(largest, "gram").withColumn("small", F.col("comp") != F.col("top")).drop("top"), "open")
+    other = (F.col("a_comp") != F.col("b_comp")) & (~F.col("b_small") | (F.col("a_node") < F.col("b_node")))
+    crossed = named(known.df.filter("small"), "a").join(named(known.df, "b"), "gram").filter(other & _needed(percent))
+    more = links_among(crossed.select("a_node", "b_node").distinct())
     if not more.df.isEmpty():
         labels.drop()
         labels = components(links.df.union(more.df))
