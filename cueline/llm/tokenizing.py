@@ -1,27 +1,29 @@
 """Whole-text tokenization through a bounded cache of space-separated pieces.
 
-Both tokenizers here split a text before every single space between two other characters and encode
-each part on its own, so a text's ids are the ids of its pieces one after another. Pieces repeat; the
+Both tokenizers here split a text before every single space (or line end) between two other characters, so parts can be encoded each on its own, so a text's ids are the ids of its pieces one after another. Pieces repeat; the
 library encodes each new one once per worker.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
-
+import sys
+from array import array
 import numpy as np
 
 from .common import single_threaded
 
 #: Pieces in one generation of a worker's cache; two generations are kept.
-CACHE_PIECES = 200_000
+CACHE_PIECES = 300_000
 #: A piece of more characters than this is not kept.
 LONG_PIECE = 64
+#: Marks that may end a piece of letters; they are tokens of their own.
+_MARKS = frozenset(",.;:!?|")
 
 _ODD_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0                　"
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
+little = sys.byteorder == "little"
 _loaded: dict[str, object] = {}
 
 
@@ -45,20 +47,22 @@ def load(path: str):
 
 
 class PieceCache:
-    """piece -> value, for the pieces used last."""
+    """piece -> value, for the pieces used last; ``fill`` gives the values of many pieces at once."""
 
     def __init__(self) -> None:
         self.young: dict = {}
         self.old: dict = {}
 
-    def missing(self, pieces: Iterable) -> list:
-        young, old, out = self.young, self.old, []
-        for p in set(pieces):
-            if p not in young:
-                if p in old:
-                    young[p] = old[p]
+    def fill(self, pieces: list[str], values: list) -> dict:
+        """What a list of values, None where the young generation lacks the piece, still needs."""
+        young, old, out = self.young, self.old, {}
+        for p, v in zip(pieces, values, strict=True):
+            if v is None and p not in young:
+                v = old.get(p)
+                if v is None:
+                    out[p] = None
                 else:
-                    out.append(p)
+                    young[p] = v
         return out
 
     def trim(self) -> None:
@@ -67,12 +71,17 @@ class PieceCache:
 
 
 def space_pieces(text: str) -> list[str]:
-    """Parts of a text; all but the first keep the space before them."""
-    if not text:
-        return []
-    plain = not (text[0] == " " or text[-1] == " " or "  " in text or "\n " in text or " \n" in text or any(c in text for c in _ODD_SPACE))
-    first, *rest = text.split(" ") if plain else _SAFE_SPACE.split(text)
-    return [first, *[" " + p for p in rest]]
+    """Parts of a text: joined, each after the first preceded by a space unless it begins with a line end, they give the text."""
+    plain = not (
+        text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n " in text or " \n" in text or "\n\n" in text or any(c in text for c in _ODD_SPACE)
+    )
+    # a lone line end between two other characters is a token of its own, like the lone space
+    return text.replace("\n", " \n").split(" ") if plain else _SAFE_SPACE.split(text)
+
+
+def _letters_and_mark(piece: str) -> bool:
+    base = piece[:-1].lower()  # a capital may have a lower case of a letter and a mark that is none
+    return len(piece) > 2 and base[1:].isalpha() and (base[0].isalpha() or base[0] == "\n")
 
 
 class IdEncoder:
@@ -82,39 +91,101 @@ class IdEncoder:
         self.tokenizer = load(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.cache = PieceCache()
+        self.marks = dict(zip(sorted(_MARKS), self._ids(sorted(_MARKS)), strict=True))
+
+    def _ids(self, strings: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch(strings, add_special_tokens=False)
+        code = "H" if self.dtype.itemsize == 2 else "I"
+        return [array(code, e.ids).tobytes() for e in found] if little else [np.array(e.ids, self.dtype).tobytes() for e in found]
+
+    def _learn(self, new: dict) -> dict:
+        young, old = self.cache.young, self.cache.old
+        parted = {p for p in new if p[-1] in _MARKS and _letters_and_mark(p)}
+        whole = {p for p in new if p not in parted} | {b for p in parted if (b := p[:-1]) not in young and b not in old}
+        whole = sorted(whole)
+        for at in range(0, len(whole), 4096):
+            some = whole[at : at + 4096]
+            for p, v in zip(some, self._ids([p if p[:1] == "\n" else " " + p for p in some]), strict=True):
+                new[p] = v
+                if len(p) <= LONG_PIECE:
+                    young[p] = v
+        for p in parted:
+            base = p[:-1]
+            new[p] = (new.get(base) or young.get(base) or old[base]) + self.marks[p[-1]]
+            if len(p) <= LONG_PIECE:
+                young[p] = new[p]
+        return new
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids, as little-endian integers of ``dtype``."""
-        parts = [space_pieces(t) for t in texts]
         self.cache.trim()
-        new = self.cache.missing(p for ps in parts for p in ps)
-        extra = {}
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for p, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                (self.cache.young if len(p) <= LONG_PIECE else extra)[p] = np.array(e.ids, dtype=self.dtype).tobytes()
-        get = self.cache.young if not extra else {**{p: self.cache.young[p] for ps in parts for p in ps if p not in extra}, **extra}
-        return [b"".join(map(get.__getitem__, ps)) for ps in parts]
+        get, rows, new = self.cache.young.get, [], {}
+        for t in texts:
+            first, *rest = space_pieces(t) if t else ("",)
+            values = list(map(get, rest))
+            if None in values:
+                new |= self.cache.fill(rest, values)
+            rows.append((first, rest, values))
+        new = self._learn(new) if new else new
+        firsts = self._ids([first for first, _, _ in rows]) if rows else []
+        out = []
+        for head, (_, rest, values) in zip(firsts, rows, strict=True):
+            if None in values:
+                values = list(map(get, rest))
+                if None in values:
+                    values = [new[p] if v is None else v for p, v in zip(rest, values, strict=True)]
+            out.append(head + b"".join(values))
+        return out
 
 
 class CountEncoder:
-    """Numbers of ids, for a tokenizer that drops white space before it splits."""
+    """Numbers of ids, for a tokenizer that drops white space before it splits and lower-cases."""
 
     def __init__(self, path: str):
         self.tokenizer = load(path)
         self.cache = PieceCache()
+        self.marks = dict(zip(sorted(_MARKS), self._counts(sorted(_MARKS)), strict=True))
+
+    def _counts(self, strings: list[str]) -> list[int]:
+        return [len(e.ids) for e in self.tokenizer.encode_batch(strings, add_special_tokens=False)]
+
+    def _learn(self, new: dict) -> dict:
+        young, old = self.cache.young, self.cache.old
+        parted = {p for p in new if p[-1] in _MARKS and _letters_and_mark(p)}
+        whole = sorted({p for p in new if p not in parted} | {b for p in parted if (b := p[:-1]) not in young and b not in old})
+        for at in range(0, len(whole), 4096):
+            some = whole[at : at + 4096]
+            for p, v in zip(some, self._counts(some), strict=True):
+                new[p] = v
+                if len(p) <= LONG_PIECE:
+                    young[p] = v
+        for p in parted:
+            base = p[:-1]
+            count = next(v for v in (new.get(base), young.get(base), old.get(base)) if v is not None)
+            new[p] = count + self.marks[p[-1]]
+            if len(p) <= LONG_PIECE:
+                young[p] = new[p]
+        return new
 
     def count(self, texts: list[str]) -> list[int]:
-        parts = [[p for p in t.replace("\n", " ").split(" ") if p] for t in texts]
         self.cache.trim()
-        new = self.cache.missing(p for ps in parts for p in ps)
-        extra = {}
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for p, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                (self.cache.young if len(p) <= LONG_PIECE else extra)[p] = len(e.ids)
-        get = self.cache.young if not extra else {**{p: self.cache.young[p] for ps in parts for p in ps if p not in extra}, **extra}
-        return [sum(map(get.__getitem__, ps)) for ps in parts]
+        self.cache.young[""] = 0
+        get, rows, new = self.cache.young.get, [], {}
+        for t in texts:
+            pieces = t.replace("\n", " ").split(" ")
+            values = list(map(get, pieces))
+            if None in values:
+                new |= self.cache.fill(pieces, values)
+            rows.append((pieces, values))
+        new = self._learn(new) if new else new
+        out = []
+        for pieces, values in rows:
+            if None in values:
+                values = list(map(get, pieces))
+                if None in values:
+                    values = [new[p] if v is None else v for p, v in zip(pieces, values, strict=True)]
+            out.append(sum(values))
+        return out
 
 
 _encoders: dict[tuple, object] = {}
