@@ -60,10 +60,11 @@ class WaveletMatrix:
         put("docs", np.array(lengths, "<u8").tobytes())
         left = ids
         for level in range(levels):
-            bit = (left >> (levels - 1 - level)) & 1
-            one = bit.astype(bool)
+            one = (left & left.dtype.type(1 << (levels - 1 - level))) != 0
             packed = np.packbits(one, bitorder="little")
-            ends = np.add.reduceat(bit, np.arange(0, len(bit), RANK_BITS), dtype=np.int64) if len(bit) else np.zeros(0, np.int64)
+            steps = np.zeros(-(-len(packed) // (RANK_BITS // 8)) * (RANK_BITS // 8), np.uint8)
+            steps[: len(packed)] = np.bitwise_count(packed)
+            ends = steps.reshape(-1, RANK_BITS // 8).sum(axis=1, dtype=np.int64)
             put(f"r{level}", np.concatenate([[0], np.cumsum(ends)]).astype("<u8").tobytes())
             for k in range(0, len(packed), BLOCK_BYTES):
                 put(f"b{level}.{k // BLOCK_BYTES}", packed[k : k + BLOCK_BYTES].tobytes())
