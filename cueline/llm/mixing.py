@@ -124,6 +124,7 @@ def mix(
     max_repeats: int = 3,
     budget: float = 1.0,
     seed: int = 7,
+    order: Column | None = None,
 ) -> DataFrame:
     """Select documents so that each source's words come near its target.
 
@@ -133,31 +134,31 @@ def mix(
 
     Null text has size 0; rows of size 0 are taken 0 times. A null or empty source list counts as the
     null source. Rows with equal keys are selected one by one. An empty table gives an empty result.
-    The order of selection depends on ``seed``, key and size only, so reruns agree.
+    The order of selection depends on ``seed``, ``order`` (the key if not given) and size only, so reruns agree.
     """
     spark = docs.sparkSession
     pattern = F.array_sort(F.array_distinct(F.coalesce(sources, F.array(F.lit(None).cast("string")))))
     pattern = F.when(F.size(pattern) == 0, F.array(F.lit(None).cast("string"))).otherwise(pattern)
     sized = with_word_count(
-        docs.select(F.col(key).alias("key"), F.to_json(pattern).alias("pattern"), F.col(text).alias("text")), "text", "size"
+        docs.select(F.col(key).alias("key"), F.to_json(pattern).alias("pattern"), F.col(text).alias("text"), (F.col(key) if order is None else order).alias("place")), "text", "size"
     )
-    draw = F.xxhash64(F.lit(seed), "key", "size")
-    sized = Staged(sized.withColumns({"rid": F.monotonically_increasing_id(), "draw": draw}), "mix-sizes").df
+    draw = F.xxhash64(F.lit(seed), "place", "size")
+    sized = Staged(sized.withColumns({"rid": F.monotonically_increasing_id(), "draw": draw}).drop("place"), "mix-sizes").df
 
     by_pattern = sized.groupBy("pattern").agg(F.sum("size").alias("size"), F.count("*").alias("docs")).limit(MAX_PATTERNS + 1).collect()
     if len(by_pattern) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} distinct sets of sources")
     words = {r["pattern"]: r["size"] for r in by_pattern}
     members = {p: json.loads(p) for p in words}
-    order = sorted({s for m in members.values() for s in m}, key=lambda s: (s is None, s or ""))
-    of_source = {s: sum(n for p, n in words.items() if s in members[p]) for s in order}
+    names = sorted({s for m in members.values() for s in m}, key=lambda s: (s is None, s or ""))
+    of_source = {s: sum(n for p, n in words.items() if s in members[p]) for s in names}
     shares = capped_targets(
-        [of_source[s] for s in order], [weight(i, s) for i, s in enumerate(order)], budget * sum(words.values()), max_repeats
+        [of_source[s] for s in names], [weight(i, s) for i, s in enumerate(names)], budget * sum(words.values()), max_repeats
     )
-    target = dict(zip(order, shares, strict=True))
+    target = dict(zip(names, shares, strict=True))
     flow = route(words, members, target, max_repeats)
 
-    rank = {s: i for i, s in enumerate(order)}
+    rank = {s: i for i, s in enumerate(names)}
     plan = []
     for p, n in words.items():
         full = flow[p] // n if n else 0

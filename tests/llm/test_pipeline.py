@@ -47,6 +47,29 @@ def test_pipeline_of_nothing(spark, sf):
         assert docs.count() == 0
 
 
+def test_rows_of_null_and_shared_ids(spark, sf):
+    words = lambda a, n=40: " ".join(f"{a}{i}" for i in range(n))
+    bench = next(r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() if len(r.text.split()) > 20)
+    near = words("n") + " end"
+    rows = [(None, words("a"), "en", "s", 0), (None, words("b"), "en", "s", 0), (7, words("c"), "en", "s", 0), (7, words("d"), "en", "s", 0), (7, "", "en", "s", 0), (7, "", "en", "s", 0), (None, None, "en", "s", 0)]
+    extra = [(None, words("n"), "en", "s", 0), (3, near, "en", "s", 0), (2, words("n"), "en", "s", 0), (2, words("n"), "en", "s", 0)]
+    got = corpus_pipeline.remove_near_duplicates(spark, table(spark, rows + extra), sf).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([*rows[:5], rows[6], extra[2]], key=repr)
+
+    dirty = [(None, f"{words('x')} {bench}", "en", "s", 0), (7, bench, "en", "s", 0)]
+    got = corpus_pipeline.remove_contaminated(spark, table(spark, rows + dirty), sf).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(rows, key=repr)
+
+    many = [(None if i % 2 else 7, words(f"m{i}x", 20), "en", f"s{i % 3}", 0) for i in range(90)]
+    docs = table(spark, many)
+    got = Counter(tuple(r) for r in corpus_pipeline.mix_sources(spark, docs, sf).collect())
+    # targets are 300, 600 and 900 of 600 words each: rows of 20 words, 15, 30 and 45 of 30, none more than once above the least
+    for s, n in (("s0", 15), ("s1", 30), ("s2", 45)):
+        mine = [got[r] for r in many if r[3] == s]
+        assert sum(mine) == n and max(mine) - min(mine) <= 1
+    assert got == Counter(tuple(r) for r in corpus_pipeline.mix_sources(spark, docs.repartition(5, "text"), sf).collect())
+
+
 def test_run(spark, sf):
     got = corpus_pipeline.run(spark, sf)
     assert got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and got.count() > 50
