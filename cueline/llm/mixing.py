@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 from collections import deque
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -22,7 +23,7 @@ from .common import Staged, small_batches
 
 #: Patterns that may be gathered on the driver. A corpus with more distinct source sets is refused.
 MAX_PATTERNS = 100_000
-#: Documents that a cell of the seeded order holds on average, and that the last step looks at.
+#: Documents that a cell of the seeded order holds on average, and from which on a round takes no further cell one by one.
 CELL_DOCS, TAIL_DOCS = 500, 1000
 
 
@@ -114,6 +115,49 @@ def route(patterns: dict[str, int], members: dict[str, list], targets: dict, max
     return {p: sum(net.room[e ^ 1] for e in es) for p, es in offers.items()}
 
 
+def _fill(sized: DataFrame, rest: dict[str, int], cells: int) -> tuple[dict[str, list[tuple[int, int, int]]], DataFrame | None]:
+    """Rows that fill the rest of each pattern's words: spans of cells (first, past, largest size) that are taken whole, and rids taken one by one.
+
+    A round takes whole cells until the next one would pass what is left, then rows one by one in the cells from there on that hold some TAIL_DOCS
+    rows. The next round goes on after them. Rows larger than what is left are out; rounds end when no row is open.
+    """
+    spark, spans, parts = sized.sparkSession, {p: [] for p in rest}, []
+    open_ = {p: (0, n) for p, n in rest.items() if n > 0}
+
+    def fill(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["cell", "draw", "key", "size", "rid"], kind="stable", na_position="first")
+        left, taken = int(rows["room"].iloc[0]) if len(rows) else 0, []
+        for rid, size in zip(rows["rid"], rows["size"], strict=True):
+            if size <= left:
+                left -= size
+                taken.append((rows["pattern"].iloc[0], rid, size))
+        return pd.DataFrame(taken, columns=["pattern", "rid", "size"]).astype({"rid": "int64", "size": "int64"})
+
+    w = Window.partitionBy("pattern").orderBy("cell")
+    while open_:
+        state = F.broadcast(spark.createDataFrame([(p, *x) for p, x in open_.items()], "pattern string, first long, left long"))  # at most MAX_PATTERNS rows
+        rows = sized.join(state, "pattern").filter((F.col("cell") >= F.col("first")) & F.col("size").between(1, F.col("left")))
+        filled = rows.groupBy("pattern", "cell", "left").agg(F.sum("size").alias("size"), F.count("*").alias("docs"))
+        filled = filled.withColumn("room", F.col("left") - F.sum("size").over(w) + F.col("size"))
+        past = filled.filter(F.col("size") > F.col("room")).select("pattern", "cell", "room")
+        past = filled.drop("room").join(past.groupBy("pattern").agg(F.min("cell").alias("edge"), F.max("room").alias("room")), "pattern")
+        past = past.filter(F.col("cell") >= F.col("edge")).withColumn("seen", F.sum("docs").over(w) - F.col("docs")).filter(F.col("seen") < TAIL_DOCS)
+        edges = past.groupBy("pattern", "edge", "room").agg(F.max("cell").alias("last")).collect()  # at most MAX_PATTERNS rows
+        edge = {r["pattern"]: r for r in edges}
+        for p, (first, left) in open_.items():
+            spans[p].append((first, edge[p]["edge"] if p in edge else cells, left))
+        if not edges:
+            break
+        edges = F.broadcast(spark.createDataFrame([tuple(r) for r in edges], "pattern string, edge long, room long, last long"))
+        rows = rows.join(edges, "pattern").filter(F.col("cell").between(F.col("edge"), F.col("last")))
+        rows = rows.select("pattern", "cell", "draw", "key", "size", "rid", "room")
+        picked = Staged(rows.groupBy("pattern").applyInPandas(fill, "pattern string, rid long, size long"), "mix-picked").df
+        parts.append(picked.select("rid"))
+        used = {r["pattern"]: r["n"] for r in picked.groupBy("pattern").agg(F.sum("size").alias("n")).collect()}
+        open_ = {p: (r["last"] + 1, r["room"] - used.get(p, 0)) for p, r in edge.items() if r["last"] + 1 < cells and r["room"] > used.get(p, 0)}
+    return spans, reduce(DataFrame.union, parts) if parts else None
+
+
 def mix(
     docs: DataFrame,
     *,
@@ -159,44 +203,23 @@ def mix(
     flow = route(words, members, target, max_repeats)
 
     rank = {s: i for i, s in enumerate(names)}
+    cells = max(256, 1 << (max((r["docs"] for r in by_pattern), default=1) // CELL_DOCS).bit_length())
+    sized = sized.withColumn("cell", F.shiftrightunsigned("draw", 1) % F.lit(cells))
+    full = {p: flow[p] // n if n else 0 for p, n in words.items()}
+    spans, picked = _fill(sized, {p: flow[p] - full[p] * n for p, n in words.items()}, cells)
     plan = []
-    for p, n in words.items():
-        full = flow[p] // n if n else 0
+    for p in words:
         first = min(members[p], key=rank.__getitem__)
-        plan.append((p, of_source[first], target[first], full, flow[p] - full * n))
-    schema = "pattern string, source_size long, target double, full long, rest long"
+        plan.append((p, of_source[first], target[first], full[p], spans.get(p, [])))
+    schema = "pattern string, source_size long, target double, full long, spans array<struct<first: long, past: long, most: long>>"
     plan = F.broadcast(spark.createDataFrame(plan, schema))  # at most MAX_PATTERNS rows
 
-    # cells of the seeded order: whole cells are taken until the next one would pass the rest
-    cells = max(256, 1 << (max((r["docs"] for r in by_pattern), default=1) // CELL_DOCS).bit_length())
-    cell = F.shiftrightunsigned("draw", 1) % F.lit(cells)
-    sized = sized.withColumn("cell", cell)
-    filled = sized.groupBy("pattern", "cell").agg(F.sum("size").alias("size"), F.count("*").alias("docs"))
-    w = Window.partitionBy("pattern").orderBy("cell")
-    filled = filled.withColumn("before", F.sum("size").over(w) - F.col("size")).join(plan, "pattern")
-    past = filled.filter(F.col("before") + F.col("size") > F.col("rest"))
-    past = past.withColumn("seen", F.sum("docs").over(w) - F.col("docs")).filter(F.col("seen") < TAIL_DOCS)
-    edge = past.groupBy("pattern").agg(
-        F.min("cell").alias("first_cell"), F.max("cell").alias("last_cell"), F.max(F.col("rest") - F.col("before")).alias("left")
-    )
-    edge = Staged(edge, "mix-edge").df
-
-    def fill(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["cell", "draw", "key", "size", "rid"], kind="stable", na_position="first")
-        left, taken = int(rows["left"].iloc[0]) if len(rows) else 0, []
-        for rid, size in zip(rows["rid"], rows["size"], strict=True):
-            if 0 < size <= left:
-                left -= size
-                taken.append(rid)
-        return pd.DataFrame({"rid": pd.Series(taken, dtype="int64")})
-
-    tail = sized.join(F.broadcast(edge), "pattern").filter(F.col("cell").between(F.col("first_cell"), F.col("last_cell")))
-    chosen = tail.groupBy("pattern").applyInPandas(fill, "rid long").withColumn("chosen", F.lit(1))
-
-    out = sized.join(plan, "pattern", "left").join(F.broadcast(edge.select("pattern", "first_cell")), "pattern", "left")
-    out = out.join(chosen, "rid", "left")
-    whole = F.when(F.col("first_cell").isNull(), F.col("rest") > 0).otherwise(F.col("cell") < F.col("first_cell"))
-    extra = F.coalesce(F.col("chosen"), whole.cast("int"), F.lit(0))
+    out = sized.join(plan, "pattern", "left")
+    whole = F.exists("spans", lambda x: (F.col("cell") >= x["first"]) & (F.col("cell") < x["past"]) & (F.col("size") <= x["most"]))
+    extra = whole.cast("int")
+    if picked is not None:
+        out = out.join(picked.withColumn("chosen", F.lit(1)), "rid", "left")
+        extra = F.coalesce(F.col("chosen"), extra)
     repeats = F.when(F.col("size") > 0, F.col("full") + extra).otherwise(0)
     return out.select(
         F.col("key").alias(key), "size", "pattern", "source_size", "target", repeats.cast("long").alias("repeats"),

@@ -72,3 +72,11 @@ def test_mix_overlapping_sources(spark):
     assert {r.pattern for r in got} == {'["a"]', '["b"]', '["a","b"]'}
     total = sum(r.size for r in got)
     assert abs(sum(r.taken for r in got) - total) <= 30
+
+
+def test_rest_is_filled_past_a_long_document(spark):
+    # cells whose greedy part meets a document larger than what is left, among far more short ones than a round looks at
+    rows = spark.range(30_000).select(F.col("id").alias("doc_id"), F.expr("repeat('w ', if(id < 3, 60000, 10))").alias("text"), F.lit("a").alias("source"))
+    for seed in range(4):
+        got = mixing.mix(rows, key="doc_id", sources=F.array("source"), budget=0.3, seed=seed).agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).first()
+        assert 0 <= got.target - got.taken <= 10, (seed, got)
