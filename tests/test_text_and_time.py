@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from cueline import queries
 from cueline.functions import text as T
 from cueline.functions import time as M
 from pyspark.sql import functions as F
@@ -90,3 +91,15 @@ def test_rates_and_boxes(spark):
 def test_signature_distance(spark):
     df = spark.createDataFrame([([1, -1], [3, 0]), ([1], [1, 2]), (None, [1])], "a array<bigint>, b array<bigint>")
     assert [r[0] for r in df.select(T.signature_distance(F.col("a"), F.col("b"))).collect()] == [65, None, None]
+
+
+def test_srt_time_format_over_the_whole_table(spark, tmp_path):
+    n = [0, 1, 500, 1500, 2500, 61_500, 3_700_500]
+    spark.createDataFrame(list(enumerate(n)), "doc_id long, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.srt, r.duration) for r in queries.srt_time_format(spark, str(tmp_path)).collect()}
+    assert len(got) == len(n)
+    for i, c in enumerate(n):
+        ms, s = c * 977, round(c * 977 / 1000)  # Python rounds half to even
+        parts = ((s // 3600, "h"), (s // 60 % 60, "m"), (s % 60, "s"))
+        want = " ".join(f"{v}{u}" for k, (v, u) in enumerate(parts) if s >= (3600, 60, 0)[k])
+        assert got[i] == (f"{ms // 3600000:02d}:{ms // 60000 % 60:02d}:{ms // 1000 % 60:02d},{ms % 1000:03d}", want)
