@@ -11,16 +11,23 @@ from pyspark.sql import functions as F
 
 #: log2 of a sketch's registers; its standard error is 1.04 / sqrt(2^10), about 3 %. Estimates within four errors of the threshold are recounted.
 REGISTERS, BAND = 10, 0.13
+#: Scripts that are written without spaces: each letter counts as a word. Other words are parted by any white space.
+UNSPACED = "".join(rf"\p{{Is{s}}}" for s in "Han Hiragana Katakana Thai Lao Khmer Myanmar".split())
+WORDS = rf"[{UNSPACED}]|[^\s\p{{Z}}{UNSPACED}]+"
 
 
 def line_hash(line: Column) -> Column:
     return F.xxhash64(line)
 
 
+def judged(line: Column, min_words: int) -> Column:
+    """Whether a trimmed line has ``min_words`` words, by single spaces or, where these part too few, by WORDS."""
+    return (line != "") & ((F.size(F.split(line, " ")) >= min_words) | (F.regexp_count(line, F.lit(WORDS)) >= min_words))
+
+
 def _lines(docs: DataFrame, min_words: int) -> DataFrame:
     lines = docs.select("key", "site", F.explode(F.split("text", "\n")).alias("line")).withColumn("line", F.btrim("line", F.lit(" \t\r")))
-    words = F.size(F.split("line", " "))
-    return lines.filter((F.col("line") != "") & (words >= min_words)).select("key", "site", line_hash(F.col("line")).alias("line"))
+    return lines.filter(judged(F.col("line"), min_words)).select("key", "site", line_hash(F.col("line")).alias("line"))
 
 
 def boilerplate(docs: DataFrame, *, min_sites: int, min_words: int) -> DataFrame:
@@ -37,7 +44,7 @@ def boilerplate(docs: DataFrame, *, min_sites: int, min_words: int) -> DataFrame
 def remove_boilerplate(docs: DataFrame, *, key: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = 8, min_words: int = 3) -> DataFrame:
     """Per row: key, n_lines, n_removed, text without the lines (spaces, tabs and returns around them aside) that ``min_sites`` sites or more show.
 
-    Lines of fewer than ``min_words`` space-separated words and blank lines always stay. A null site counts for no line. Null texts count as empty:
+    Lines of fewer than ``min_words`` words (see ``judged``) and blank lines always stay. A null site counts for no line. Null texts count as empty:
     one blank line. Every row gives a row; rows of equal or null keys are treated alike. Other columns are ignored.
     """
     docs = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(site).cast("string").alias("site"))
@@ -45,9 +52,8 @@ def remove_boilerplate(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     # the lines to remove from each key's texts: distinct boilerplate lines of a document
     hit = _lines(docs, min_words).join(bad, "line").groupBy(F.col("key").alias("hit_key")).agg(F.collect_set("line").alias("bad"))
     rows = docs.join(hit, F.col("key").eqNullSafe(F.col("hit_key")), "left")
-    lines, keep = F.split("text", "\n"), f"""filter(split(text, '\\n'), x -> NOT (btrim(x, ' \\t\\r') <> '' AND size(split(btrim(x, ' \\t\\r'), ' ')) >= {min_words}
-        AND array_contains(bad, xxhash64(btrim(x, ' \\t\\r')))))"""
-    kept = F.when(F.col("bad").isNull(), lines).otherwise(F.expr(keep))
+    lines, keep = F.split("text", "\n"), lambda x: ~F.array_contains("bad", line_hash(F.btrim(x, F.lit(" \t\r"))))
+    kept = F.when(F.col("bad").isNull(), lines).otherwise(F.filter(lines, keep))
     rows = rows.select("key", F.size(lines).alias("n"), kept.alias("kept"))
     return rows.select(F.col("key").alias(key), F.col("n").cast("long").alias("n_lines"), (F.col("n") - F.size("kept")).cast("long").alias("n_removed"), F.array_join("kept", "\n").alias("text"))
 

@@ -45,6 +45,13 @@ def test_lines_oracle_and_empty(spark, sf):
     assert D.remove_boilerplate(table(spark, [])).collect() == []
 
 
+def test_lines_without_spaces_are_judged(spark):
+    shared = ["版权所有未经许可不得转载", "ログインしてください", "สงวนลิขสิทธิ์ทุกประการ", "Home\tAbout\tContact", "all\u3000rights\u3000reserved"]
+    rows = [(i, "\n".join([*shared, "Log in", "登录", f"only here {i}"]), "en", f"site{i}", 0) for i in range(8)]
+    for r in D.remove_boilerplate(table(spark, rows)).collect():
+        assert (r.n_removed, r.text) == (5, f"Log in\n登录\nonly here {r.doc_id}")
+
+
 CASES = [
     (None, ""),
     ("", ""),
