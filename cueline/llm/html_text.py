@@ -18,7 +18,9 @@ from .common import small_batches
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template title noscript iframe object audio video canvas svg math datalist noembed noframes".split())
+HIDDEN = frozenset("head script style template title noscript iframe object audio video canvas datalist noembed noframes".split())
+#: What svg and math hold and do not show in place.
+FOREIGN_HIDDEN = {"svg": frozenset("title desc metadata defs symbol clippath mask marker pattern".split()), "math": frozenset("annotation annotation-xml".split())}
 #: Blocks with a blank line around them, and those that only begin a line.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure hr fieldset form details".split())
 BLOCK = SPACED | frozenset("html body div section article aside header footer nav main address li dt dd tr caption center figcaption legend summary menu dir hgroup search option optgroup textarea".split())
@@ -44,7 +46,8 @@ TOKEN = re.compile(
 )
 ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 SPACE = re.compile(r"[ \t\n\r\f]+")
-UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+UNSEEN = re.compile(r"display\s*:\s*none|content-visibility\s*:\s*hidden", re.I)
+VISIBILITY = re.compile(r"(?<![\w-])visibility\s*:\s*(visible|hidden|collapse)", re.I)
 BODY = frozenset("body frameset".split())
 HEAD = frozenset("base link meta title style script noscript template head html".split())
 
@@ -106,6 +109,8 @@ def parse(page: str) -> Node:
         attrs = {a[1].lower(): html.unescape(a[2] or a[3] or a[4] or "") for a in ATTR.finditer(m["attrs"] or "")}
         node = Node(tag, attrs)
         stack[-1].children.append(node)
+        if m.group().endswith("/>") and any(n.tag in FOREIGN_HIDDEN for n in stack):
+            continue
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             raw = page[at : end.start() if end else len(page)]
@@ -116,12 +121,19 @@ def parse(page: str) -> Node:
     return root
 
 
-def hidden(node: Node) -> bool:
-    if node.tag in HIDDEN or "hidden" in node.attrs or node.tag == "dialog" and "open" not in node.attrs:
+def hidden(node: Node, within: str = "") -> bool:
+    if node.tag in FOREIGN_HIDDEN.get(within, ()) or node.tag in HIDDEN or "hidden" in node.attrs or node.tag == "dialog" and "open" not in node.attrs:
         return True
     return bool(UNSEEN.search(node.attrs.get("style", "")))
 
 
+def context(node: Node, seen: bool, within: str) -> tuple[bool, str]:
+    """Whether the node's own text is visible (inherited unless its style says), and whether it is in svg or math."""
+    said = VISIBILITY.findall(node.attrs.get("style", ""))
+    within = node.tag if node.tag in FOREIGN_HIDDEN else "" if node.tag == "foreignobject" else within
+    return said[-1].lower() == "visible" if said else seen, within
+
+
 class Writer:
     """Text of one flow: collapses white space, keeps the widest gap asked for between blocks."""
 
@@ -202,14 +214,16 @@ def render(root: Node) -> str:
     lists: list[list] = []  # [kind, number] of open lists
     tables: list[list[list[tuple[str, int]]]] = []
     pre = 0
-    stack: list[tuple[Node | str, bool]] = [(root, False)]
+    stack: list[tuple[Node | str, bool, bool, str]] = [(root, False, True, "")]
     while stack:
-        node, leave = stack.pop()
+        node, leave, seen, within = stack.pop()
         out = flows[-1]
         if isinstance(node, str):
-            out.pre(node) if pre else out.text(node)
+            if seen:
+                out.pre(node) if pre else out.text(node)
             continue
         tag = node.tag
+        label = tag == "text" and within == "svg"
         if leave:
             if tag in ("td", "th") and tables:
                 span = node.attrs.get("colspan", "1")
@@ -230,17 +244,19 @@ def render(root: Node) -> str:
                 out.marks = out.marks[:-1]
             elif tag == "pre":
                 pre -= 1
-            if tag in BLOCK:
+            if tag in BLOCK or label:
                 out.block(tag in SPACED and not (tag in _LISTS and lists))
             continue
-        if hidden(node) or tag == "input" and node.attrs.get("type", "").lower() == "hidden":
+        if hidden(node, within) or tag == "input" and node.attrs.get("type", "").lower() == "hidden":
             continue
+        seen, within = context(node, seen, within)
         if tag == "br":
-            out.line()
+            if seen:
+                out.line()
             continue
         if tag in ("td", "th") and tables:
             flows.append(Writer())
-        elif tag in BLOCK:
+        elif tag in BLOCK or label:
             out.block(tag in SPACED and not (tag in _LISTS and lists))
         if tag == "table":
             tables.append([])
@@ -254,11 +270,11 @@ def render(root: Node) -> str:
             if lists and lists[-1][0] == "ol":
                 mark = f"{lists[-1][1]}. "
                 lists[-1][1] += 1
-            out.marks = [*out.marks, mark]
+            out.marks = [*out.marks, mark if seen else ""]
         elif tag == "pre":
             pre += 1
-        stack.append((node, True))
-        stack.extend((c, False) for c in reversed(node.children))
+        stack.append((node, True, seen, within))
+        stack.extend((c, False, seen, within) for c in reversed(node.children))
     return flows[0].result()
 
 

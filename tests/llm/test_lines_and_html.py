@@ -84,6 +84,20 @@ def test_layout(page, want):
     assert H.page_text(page) == want
 
 
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("so <math><semantics><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></semantics></math> holds", "so x=2 holds"),
+        ("<svg><title>t</title><desc>d</desc><defs><text>no</text></defs><defs/><path d='M0'/><text>one</text><text>two</text></svg>", "one\ntwo"),
+        ("<div style='visibility:hidden'>no <b style='visibility: visible'>yes</b> no</div>", "yes"),
+        ("<ul><li style='visibility:hidden'>no<li>b</ul>", "- b"),
+        ("<i style='backface-visibility:hidden'>yes</i><p><desc>out</desc>", "yes\n\nout"),
+    ],
+)
+def test_svg_math_and_inherited_visibility(page, want):
+    assert H.page_text(page) == want
+
+
 class Plain(HTMLParser):
     def __init__(self):
         super().__init__()
