@@ -15,7 +15,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, small_batches
+from .common import Staged, fresh_path, small_batches
 from .tokenizing import CountEncoder, encoder
 
 CACHE_SCHEMA = "version string, digest binary, n_tokens long"
@@ -50,12 +50,12 @@ def stored_counts(spark: SparkSession, cache: str, version: str) -> DataFrame:
 def append_misses(docs: DataFrame, *, text: str, tokenizer: str, cache: str, version: str) -> None:
     """Encode each distinct text that the cache lacks, and append its count."""
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 4096)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(CountEncoder, tokenizer)
         for b in batches:
-            n = enc.count(b.column("text").to_pylist())
+            n = enc.count(b.column("text"))
             yield pa.RecordBatch.from_arrays([pa.array([version] * len(n), pa.string()), b.column("digest").cast(pa.binary()), pa.array(n, pa.int64())], ["version", "digest", "n_tokens"])
 
     keyed = docs.select(content_digest(F.col(text)).alias("digest"), F.col(text).alias("text"))
@@ -78,5 +78,7 @@ def token_counts(docs: DataFrame, *, tokenizer: str, limit: int, key: str = "doc
     docs = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     append_misses(docs, text="text", tokenizer=tokenizer, cache=cache, version=version)
     rows = docs.select("key", F.octet_length("text").cast("long").alias("n_bytes"), content_digest(F.col("text")).alias("digest"))
-    out = rows.join(stored_counts(spark, cache, version), "digest", "left")
+    # a written table, so that a digest of many rows can be split: nothing stands between exchange and join
+    counts = Staged(stored_counts(spark, cache, version), "counts").df
+    out = rows.join(counts, "digest", "left")
     return out.select(F.col("key").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -7,9 +7,13 @@ library encodes each new one once per worker.
 from __future__ import annotations
 
 import re
-import sys
-from array import array
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from itertools import batched, chain
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import single_threaded
 
@@ -22,8 +26,9 @@ _MARKS = frozenset(",.;:!?|")
 
 _ODD_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0                　"
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+#: Texts of which not every space and line end stands alone between two other characters.
+_NOT_PLAIN = f"^[ \n]|[ \n]$|[ \n][ \n]|[{_ODD_SPACE}]"
 
-little = sys.byteorder == "little"
 _loaded: dict[str, object] = {}
 
 
@@ -47,36 +52,54 @@ def load(path: str):
 
 
 class PieceCache:
-    """piece -> value, for the pieces used last; ``fill`` gives the values of many pieces at once."""
+    """piece -> value, for the pieces used last. ``learn`` gives the values of pieces that neither generation holds; a mark after a word has a value of its own."""
 
-    def __init__(self) -> None:
+    def __init__(self, learn: Callable[[Sequence[str]], list], marks: list):
         self.young: dict = {}
         self.old: dict = {}
+        self.learn = learn
+        self.marks = dict(zip(sorted(_MARKS), marks, strict=True))
 
-    def fill(self, pieces: list[str], values: list) -> dict:
-        """What a list of values, None where the young generation lacks the piece, still needs."""
-        young, old, out = self.young, self.old, {}
-        for p, v in zip(pieces, values, strict=True):
-            if v is None and p not in young:
-                v = old.get(p)
-                if v is None:
-                    out[p] = None
-                else:
-                    young[p] = v
-        return out
-
-    def trim(self) -> None:
+    @contextmanager
+    def holding(self, pieces: list[str]) -> Iterator[dict]:
+        """The young generation with all these pieces in it, for as long as a batch needs them."""
         if len(self.young) > CACHE_PIECES:
             self.old, self.young = self.young, {}
+        young, old, parted = self.young, self.old, []
+        whole: set[str] = set()
+        for p in [p for p in pieces if p not in young]:
+            v = old.get(p)
+            if v is not None:
+                young[p] = v
+            elif p[-1:] in _MARKS and _letters_and_mark(p):
+                parted.append(p)
+                if (base := p[:-1]) not in young:
+                    v = old.get(base)
+                    if v is None:
+                        whole.add(base)
+                    else:
+                        young[base] = v
+            else:
+                whole.add(p)
+        for some in batched(sorted(whole), 4096):
+            young.update(zip(some, self.learn(some), strict=True))
+        for p in parted:
+            young[p] = young[p[:-1]] + self.marks[p[-1]]
+        yield young
+        for p in [p for p in chain(whole, parted) if len(p) > LONG_PIECE]:
+            del young[p]
 
 
-def space_pieces(text: str) -> list[str]:
-    """Parts of a text: joined, each after the first preceded by a space unless it begins with a line end, they give the text."""
-    plain = not (
-        text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n " in text or " \n" in text or "\n\n" in text or any(c in text for c in _ODD_SPACE)
-    )
+def space_pieces(texts: pa.Array) -> pa.ListArray:
+    """Parts of each text: joined, each after the first preceded by a space unless it begins with a line end, they give the text."""
+    odd = np.flatnonzero(pc.match_substring_regex(texts, _NOT_PLAIN).to_numpy(zero_copy_only=False))
     # a lone line end between two other characters is a token of its own, like the lone space
-    return text.replace("\n", " \n").split(" ") if plain else _SAFE_SPACE.split(text)
+    if not len(odd):
+        return pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+    plain = np.setdiff1d(np.arange(len(texts)), odd)
+    parts = [pc.split_pattern(pc.replace_substring(texts.take(pa.array(plain)), "\n", " \n"), " ")]
+    parts.append(pa.array([_SAFE_SPACE.split(t.as_py()) for t in texts.take(pa.array(odd))], pa.list_(pa.string())))
+    return pa.concat_arrays(parts).take(pa.array(np.argsort(np.concatenate([plain, odd]))))
 
 
 def _letters_and_mark(piece: str) -> bool:
@@ -90,52 +113,58 @@ class IdEncoder:
     def __init__(self, path: str):
         self.tokenizer = load(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        self.cache = PieceCache()
-        self.marks = dict(zip(sorted(_MARKS), self._ids(sorted(_MARKS)), strict=True))
-
-    def _ids(self, strings: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(strings, add_special_tokens=False)
-        code = "H" if self.dtype.itemsize == 2 else "I"
-        return [array(code, e.ids).tobytes() for e in found] if little else [np.array(e.ids, self.dtype).tobytes() for e in found]
-
-    def _learn(self, new: dict) -> dict:
-        young, old = self.cache.young, self.cache.old
-        parted = {p for p in new if p[-1] in _MARKS and _letters_and_mark(p)}
-        whole = {p for p in new if p not in parted} | {b for p in parted if (b := p[:-1]) not in young and b not in old}
-        whole = sorted(whole)
-        for at in range(0, len(whole), 4096):
-            some = whole[at : at + 4096]
-            for p, v in zip(some, self._ids([p if p[:1] == "\n" else " " + p for p in some]), strict=True):
-                new[p] = v
-                if len(p) <= LONG_PIECE:
-                    young[p] = v
-        for p in parted:
-            base = p[:-1]
-            new[p] = (new.get(base) or young.get(base) or old[base]) + self.marks[p[-1]]
-            if len(p) <= LONG_PIECE:
-                young[p] = new[p]
-        return new
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """For each text its ids, as little-endian integers of ``dtype``."""
-        self.cache.trim()
-        get, rows, new = self.cache.young.get, [], {}
-        for t in texts:
-            first, *rest = space_pieces(t) if t else ("",)
-            values = list(map(get, rest))
-            if None in values:
-                new |= self.cache.fill(rest, values)
-            rows.append((first, rest, values))
-        new = self._learn(new) if new else new
-        firsts = self._ids([first for first, _, _ in rows]) if rows else []
-        out = []
-        for head, (_, rest, values) in zip(firsts, rows, strict=True):
-            if None in values:
-                values = list(map(get, rest))
-                if None in values:
-                    values = [new[p] if v is None else v for p, v in zip(rest, values, strict=True)]
-            out.append(head + b"".join(values))
-        return out
+        self.is_word, self.is_line = np.zeros((2, self.tokenizer.get_vocab_size(with_added_tokens=True)), bool)
+        for token, i in self.tokenizer.get_vocab().items():  # bytes 0x20 and 0x0A are written as these letters
+            self.is_word[i], self.is_line[i] = token[:1] == "\u0120", token[:1] == "\u010a"
+        self.cache = PieceCache(self._learn, self._ids(sorted(_MARKS)))
+
+    def _ids(self, strings: Sequence[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+
+    def _learn(self, some: Sequence[str]) -> list[bytes]:
+        """Ids of pieces within a text, those after a space and those after a line end each as parts of one text."""
+        lines, words = [p[1:] for p in some if p[0] == "\n"], [p for p in some if p[0] != "\n"]
+        found = dict(zip([f"\n{p}" for p in lines], self._parts("\n", lines, self.is_line), strict=True))
+        found |= zip(words, self._parts(" ", words, self.is_word), strict=True)
+        return [found[p] for p in some]
+
+    def _parts(self, space: str, strings: list[str], is_start: np.ndarray) -> list[bytes]:
+        """Ids of each string after a space: of all as one text, if an id that begins with the space begins each, and no other does."""
+        text = space + space.join(strings)
+        if strings and len(text.split()) == len(strings):
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+            starts = np.flatnonzero(is_start[ids])
+            if len(starts) == len(strings) and not starts[0]:
+                raw, at = ids.tobytes(), (starts * self.dtype.itemsize).tolist()
+                return [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)], strict=True)]
+        return self._ids([space + p for p in strings])
+
+    def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (none null) one after another, each text's followed by ``end`` if that is given, and the number of each text's."""
+        if not len(texts):
+            return np.zeros(0, self.dtype), np.zeros(0, np.int64)
+        pieces = space_pieces(texts)
+        first = np.asarray(pieces.offsets)[:-1] - pieces.offsets[0].as_py()
+        coded = pieces.flatten().dictionary_encode()
+        distinct, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), np.asarray(coded.indices).astype(np.int64)
+        # a text's first piece has no space before it
+        heads = self._ids(pieces.flatten().take(pa.array(first)).to_pylist())
+        inner = np.ones(len(at), bool)
+        inner[first] = False
+        used = np.zeros(len(distinct), bool)
+        used[at[inner]] = True
+        with self.cache.holding([p for p, u in zip(distinct, used.tolist(), strict=True) if u]) as known:
+            values = [known[p] if u else b"" for p, u in zip(distinct, used.tolist(), strict=True)]
+        at[first] = len(distinct) + np.arange(len(first))
+        values += heads
+        if end is not None:
+            values.append(np.array([end], self.dtype).tobytes())
+            at = np.insert(at, np.append(first[1:], len(at)), len(values) - 1)
+            first = first + np.arange(len(first))
+        flat = pa.array(values, pa.large_binary()).take(pa.array(at))
+        bounds = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset : flat.offset + len(at) + 1]
+        ids = np.frombuffer(flat.buffers()[2] or b"", self.dtype, count=int(bounds[-1]) // self.dtype.itemsize)
+        return ids, np.diff(bounds[np.append(first, len(at))]) // self.dtype.itemsize
 
 
 class CountEncoder:
@@ -143,49 +172,21 @@ class CountEncoder:
 
     def __init__(self, path: str):
         self.tokenizer = load(path)
-        self.cache = PieceCache()
-        self.marks = dict(zip(sorted(_MARKS), self._counts(sorted(_MARKS)), strict=True))
-
-    def _counts(self, strings: list[str]) -> list[int]:
-        return [len(e.ids) for e in self.tokenizer.encode_batch(strings, add_special_tokens=False)]
-
-    def _learn(self, new: dict) -> dict:
-        young, old = self.cache.young, self.cache.old
-        parted = {p for p in new if p[-1] in _MARKS and _letters_and_mark(p)}
-        whole = sorted({p for p in new if p not in parted} | {b for p in parted if (b := p[:-1]) not in young and b not in old})
-        for at in range(0, len(whole), 4096):
-            some = whole[at : at + 4096]
-            for p, v in zip(some, self._counts(some), strict=True):
-                new[p] = v
-                if len(p) <= LONG_PIECE:
-                    young[p] = v
-        for p in parted:
-            base = p[:-1]
-            count = next(v for v in (new.get(base), young.get(base), old.get(base)) if v is not None)
-            new[p] = count + self.marks[p[-1]]
-            if len(p) <= LONG_PIECE:
-                young[p] = new[p]
-        return new
-
-    def count(self, texts: list[str]) -> list[int]:
-        self.cache.trim()
-        self.cache.young[""] = 0
-        get, rows, new = self.cache.young.get, [], {}
-        for t in texts:
-            pieces = t.replace("\n", " ").split(" ")
-            values = list(map(get, pieces))
-            if None in values:
-                new |= self.cache.fill(pieces, values)
-            rows.append((pieces, values))
-        new = self._learn(new) if new else new
-        out = []
-        for pieces, values in rows:
-            if None in values:
-                values = list(map(get, pieces))
-                if None in values:
-                    values = [new[p] if v is None else v for p, v in zip(pieces, values, strict=True)]
-            out.append(sum(values))
-        return out
+        self.cache = PieceCache(self._counts, self._counts(sorted(_MARKS)))
+
+    def _counts(self, strings: Sequence[str]) -> list[int]:
+        return [len(e) for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+
+    def count(self, texts: pa.Array) -> np.ndarray:
+        """The number of ids of each text (none null)."""
+        pieces = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        bounds = np.asarray(pieces.offsets).astype(np.int64)
+        coded = pieces.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        with self.cache.holding(distinct) as known:
+            counts = np.array([known[p] for p in distinct], np.int64)
+        total = np.concatenate([[0], np.cumsum(counts[np.asarray(coded.indices)])])
+        return np.diff(total[bounds - bounds[0]])
 
 
 _encoders: dict[tuple, object] = {}

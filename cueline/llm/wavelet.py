@@ -175,7 +175,7 @@ def write_shards(docs: DataFrame, path: str, *, key: str, text: str, tokenizer:
     Parquet table with a row per shard: Spark's commit protocol keeps a file of a failed attempt out, on any store.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 4096)
     docs = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     total = docs.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     parts = max(1, -(-total // TASK_BYTES))
@@ -184,28 +184,27 @@ def write_shards(docs: DataFrame, path: str, *, key: str, text: str, tokenizer:
         from pyspark import TaskContext
 
         enc, part, seq = encoder(IdEncoder, tokenizer), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], enc.dtype).tobytes()
-        ids: list[bytes] = []
+        ids: list[np.ndarray] = []
         keys: list = []
         lengths: list[int] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
-            blob = WaveletMatrix.build(np.frombuffer(b"".join(ids), enc.dtype), lengths, keys)
+            blob = WaveletMatrix.build(np.concatenate(ids), lengths, keys)
             return pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([held], pa.int64()), pa.array([blob], pa.binary())],
                 ["part", "seq", "n_docs", "n_tokens", "file"],
             )
 
         for b in batches:
-            for k, raw in zip(b.column("k").to_pylist(), enc.encode(b.column("t").to_pylist()), strict=True):
-                ids.append(raw + end)
-                keys.append(k)
-                lengths.append(len(ids[-1]) // enc.dtype.itemsize)
-                held += lengths[-1]
-                if held >= SHARD_TOKENS:
-                    yield flush()
-                    ids, keys, lengths, held, seq = [], [], [], 0, seq + 1
+            some, n = enc.encode(b.column("t"), end_id)
+            ids.append(some)
+            keys += b.column("k").to_pylist()
+            lengths += n.tolist()
+            held += len(some)
+            if held >= SHARD_TOKENS:
+                yield flush()
+                ids, keys, lengths, held, seq = [], [], [], 0, seq + 1
         if keys:
             yield flush()
 

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from cueline.llm import token_counts, tokenizing, wavelet
 
@@ -77,9 +78,17 @@ def test_pieces_give_the_library_ids():
     enc = tokenizing.IdEncoder(tokenizing.vocabulary_path("byte_bpe_50k.json"))
     cnt = tokenizing.CountEncoder(tokenizing.vocabulary_path("word_bpe_49k.json"))
     texts = [random_text(rng) for _ in range(3000)] + [r[1] or "" for r in awkward()]
-    for t, raw, n in zip(texts, enc.encode(texts), cnt.count(texts), strict=True):
-        assert np.frombuffer(raw, enc.dtype).tolist() == ids.encode(t, add_special_tokens=False).ids, repr(t)
-        assert n == len(words.encode(t, add_special_tokens=False).ids), repr(t)
+    texts += [" ".join(random_text(rng).replace(" ", "") or "x" for _ in range(40)) for _ in range(200)] + ["one two,\nThree four.\nfive\nsix's 7"]
+    for _ in range(2):  # the second time from the cache
+        flat, lengths = enc.encode(pa.array(texts, pa.string()), 7)
+        bounds = np.concatenate([[0], np.cumsum(lengths)])
+        assert len(flat) == bounds[-1]
+        for t, a, b, n in zip(texts, bounds, bounds[1:], cnt.count(pa.array(texts, pa.string())), strict=False):
+            assert flat[a:b].tolist() == [*ids.encode(t, add_special_tokens=False).ids, 7], repr(t)
+            assert n == len(words.encode(t, add_special_tokens=False).ids), repr(t)
+    assert [len(x) for x in enc.encode(pa.array([], pa.string()), 7)] == [0, 0] and not len(cnt.count(pa.array([], pa.string())))
+    flat, lengths = enc.encode(pa.array(texts, pa.string()).slice(100, 50))
+    assert flat.tolist() == [i for t in texts[100:150] for i in ids.encode(t, add_special_tokens=False).ids] and lengths.sum() == len(flat)
 
 
 def test_token_counts_and_cache(spark, tmp_path):
