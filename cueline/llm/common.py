@@ -8,14 +8,15 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
-#: Rows in one Arrow batch: bounds what a Python worker holds at once.
-BATCH_ROWS = 1024
+#: Rows and bytes in one Arrow batch: they bound what a Python worker holds at once (a longer row is a batch of its own).
+BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,11 +65,49 @@ class Staged:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Lower the session's Arrow batch size, so that long texts do not pile up in a worker."""
+    """Lower the session's Arrow batch sizes, in rows and bytes, so that long texts do not pile up in a worker."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > rows:
         spark.conf.set(key, str(rows))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def with_row_id(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with an identity of their own (hash of the file, and row number in it), and its column's name, with which no other column's begins.
+
+    Rows that come straight from files have it without a copy, the same however often and in whatever splits they are read. Others
+    are written to the shared folder first.
+    """
+    name = "row_id"
+    while any(c.lower().startswith(name) for c in docs.columns):
+        name += "_"
+
+    def marked(df: DataFrame) -> DataFrame:
+        of = df.metadataColumn("_metadata")
+        return df.withColumn(name, F.struct(F.xxhash64(of["file_path"]).alias("file"), of["row_index"].alias("row")))
+
+    try:
+        return marked(docs), name
+    except AnalysisException:
+        return marked(Staged(docs, "rows").df), name
+
+
+#: Rows of a narrow table (some 50 bytes each) up to which it is broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def small_side(table: DataFrame) -> DataFrame:
+    """A written narrow table, to be broadcast if its rows are few enough; beyond that Spark joins it by an exchange."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def without_rows(rows: DataFrame, row: str, gone: DataFrame) -> DataFrame:
+    """The rows of ``with_row_id`` whose identity is not in ``gone`` (its one column), without their identity."""
+    out = Staged(gone.select(F.col(gone.columns[0]).alias(f"{row}_gone")), "gone").df
+    return rows.join(small_side(out), F.col(row) == F.col(f"{row}_gone"), "left_anti").drop(row)
 
 
 def ascii_lower(text: Column) -> Column:

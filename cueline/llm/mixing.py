@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 from collections import deque
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Staged, small_batches
+from .common import Staged, small_batches, small_side, with_row_id
 
 #: Patterns that may be gathered on the driver. A corpus with more distinct source sets is refused.
 MAX_PATTERNS = 100_000
@@ -125,7 +126,7 @@ def _fill(sized: DataFrame, rest: dict[str, int], cells: int) -> tuple[dict[str,
     open_ = {p: (0, n) for p, n in rest.items() if n > 0}
 
     def fill(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["cell", "draw", "key", "size", "rid"], kind="stable", na_position="first")
+        rows = rows.sort_values(["cell", "draw", "tie", "size", "rid"], kind="stable")
         left, taken = int(rows["room"].iloc[0]) if len(rows) else 0, []
         for rid, size in zip(rows["rid"], rows["size"], strict=True):
             if size <= left:
@@ -150,7 +151,7 @@ def _fill(sized: DataFrame, rest: dict[str, int], cells: int) -> tuple[dict[str,
             break
         edges = F.broadcast(spark.createDataFrame([tuple(r) for r in edges], "pattern string, edge long, room long, last long"))
         rows = rows.join(edges, "pattern").filter(F.col("cell").between(F.col("edge"), F.col("last")))
-        rows = rows.select("pattern", "cell", "draw", "key", "size", "rid", "room")
+        rows = rows.select("pattern", "cell", "draw", F.xxhash64("key").alias("tie"), "size", "rid", "room")
         picked = Staged(rows.groupBy("pattern").applyInPandas(fill, "pattern string, rid long, size long"), "mix-picked").df
         parts.append(picked.select("rid"))
         used = {r["pattern"]: r["n"] for r in picked.groupBy("pattern").agg(F.sum("size").alias("n")).collect()}
@@ -158,36 +159,40 @@ def _fill(sized: DataFrame, rest: dict[str, int], cells: int) -> tuple[dict[str,
     return spans, reduce(DataFrame.union, parts) if parts else None
 
 
-def mix(
-    docs: DataFrame,
-    *,
-    key: str,
-    sources: Column,
-    text: str = "text",
-    weight: Callable[[int, str | None], float] = lambda i, s: 1.0 + i % 3,
-    max_repeats: int = 3,
-    budget: float = 1.0,
-    seed: int = 7,
-    order: Column | None = None,
-) -> DataFrame:
-    """Select documents so that each source's words come near its target.
+def _pattern(sources: Column) -> Column:
+    found = F.array_sort(F.array_distinct(F.coalesce(sources, F.array(F.lit(None).cast("string")))))
+    return F.to_json(F.when(F.size(found) == 0, F.array(F.lit(None).cast("string"))).otherwise(found))
 
-    ``sources`` is an array of the sources that hold a document; ``weight(i, name)`` weighs the i-th
-    source by code point, null last. Returns a row for each input row: key, size, pattern (JSON list),
-    source_size and target (of the pattern's first source by code point, null last), repeats, taken.
 
-    Null text has size 0; rows of size 0 are taken 0 times. A null or empty source list counts as the
-    null source. Rows with equal keys are selected one by one. An empty table gives an empty result.
-    The order of selection depends on ``seed``, ``order`` (the key if not given) and size only, so reruns agree.
-    """
+@dataclass
+class Decision:
+    """What the flow decided: the sized rows, the plan's row for each pattern, and the rows (rid) picked one by one."""
+
+    sized: DataFrame
+    plan: DataFrame
+    picked: DataFrame | None
+    cells: int
+    draw: Callable[[Column, Column], Column]
+
+    def repeats(self, cell: Column, size: Column, chosen: Column, plan: Column) -> Column:
+        """How often a row is taken, by its pattern's plan."""
+        whole = F.exists(plan["spans"], lambda x: (cell >= x["first"]) & (cell < x["past"]) & (size <= x["most"]))
+        return F.when(size > 0, plan["full"] + F.coalesce(chosen, whole.cast("int"))).otherwise(0).cast("long")
+
+    def cell(self, draw: Column) -> Column:
+        return F.shiftrightunsigned(draw, 1) % F.lit(self.cells)
+
+
+def _decide(
+    docs: DataFrame, *, key: str, sources: Column, text: str = "text", weight: Callable[[int, str | None], float] = lambda i, s: 1.0 + i % 3,
+    max_repeats: int = 3, budget: float = 1.0, seed: int = 7, order: Column | None = None,
+) -> Decision:
     spark = docs.sparkSession
-    pattern = F.array_sort(F.array_distinct(F.coalesce(sources, F.array(F.lit(None).cast("string")))))
-    pattern = F.when(F.size(pattern) == 0, F.array(F.lit(None).cast("string"))).otherwise(pattern)
     sized = with_word_count(
-        docs.select(F.col(key).alias("key"), F.to_json(pattern).alias("pattern"), F.col(text).alias("text"), (F.col(key) if order is None else order).alias("place")), "text", "size"
+        docs.select(F.col(key).alias("key"), _pattern(sources).alias("pattern"), F.col(text).alias("text"), (F.col(key) if order is None else order).alias("place")), "text", "size"
     )
-    draw = F.xxhash64(F.lit(seed), "place", "size")
-    sized = Staged(sized.withColumns({"rid": F.monotonically_increasing_id(), "draw": draw}).drop("place"), "mix-sizes").df
+    draw = lambda place, size: F.xxhash64(F.lit(seed), place, size)
+    sized = Staged(sized.withColumns({"rid": F.monotonically_increasing_id(), "draw": draw(F.col("place"), F.col("size"))}).drop("place"), "mix-sizes").df
 
     by_pattern = sized.groupBy("pattern").agg(F.sum("size").alias("size"), F.count("*").alias("docs")).limit(MAX_PATTERNS + 1).collect()
     if len(by_pattern) > MAX_PATTERNS:
@@ -195,10 +200,11 @@ def mix(
     words = {r["pattern"]: r["size"] for r in by_pattern}
     members = {p: json.loads(p) for p in words}
     names = sorted({s for m in members.values() for s in m}, key=lambda s: (s is None, s or ""))
-    of_source = {s: sum(n for p, n in words.items() if s in members[p]) for s in names}
-    shares = capped_targets(
-        [of_source[s] for s in names], [weight(i, s) for i, s in enumerate(names)], budget * sum(words.values()), max_repeats
-    )
+    of_source = dict.fromkeys(names, 0)
+    for p, n in words.items():
+        for s in members[p]:
+            of_source[s] += n
+    shares = capped_targets([of_source[s] for s in names], [weight(i, s) for i, s in enumerate(names)], budget * sum(words.values()), max_repeats)
     target = dict(zip(names, shares, strict=True))
     flow = route(words, members, target, max_repeats)
 
@@ -212,16 +218,50 @@ def mix(
         first = min(members[p], key=rank.__getitem__)
         plan.append((p, of_source[first], target[first], full[p], spans.get(p, [])))
     schema = "pattern string, source_size long, target double, full long, spans array<struct<first: long, past: long, most: long>>"
-    plan = F.broadcast(spark.createDataFrame(plan, schema))  # at most MAX_PATTERNS rows
-
-    out = sized.join(plan, "pattern", "left")
-    whole = F.exists("spans", lambda x: (F.col("cell") >= x["first"]) & (F.col("cell") < x["past"]) & (F.col("size") <= x["most"]))
-    extra = whole.cast("int")
-    if picked is not None:
-        out = out.join(picked.withColumn("chosen", F.lit(1)), "rid", "left")
-        extra = F.coalesce(F.col("chosen"), extra)
-    repeats = F.when(F.col("size") > 0, F.col("full") + extra).otherwise(0)
-    return out.select(
-        F.col("key").alias(key), "size", "pattern", "source_size", "target", repeats.cast("long").alias("repeats"),
-        (repeats * F.col("size")).cast("long").alias("taken"),
-    )
+    return Decision(sized, F.broadcast(spark.createDataFrame(plan, schema)), picked, cells, draw)  # the plan: at most MAX_PATTERNS rows
+
+
+def mix(docs: DataFrame, *, key: str, sources: Column, **how) -> DataFrame:
+    """Select documents so that each source's words come near its target.
+
+    ``sources`` is an array of the sources that hold a document; ``weight(i, name)`` weighs the i-th
+    source by code point, null last; ``text``, ``max_repeats``, ``budget``, ``seed`` and ``order`` may be given too. Returns a row for each
+    input row: key, size, pattern (JSON list), source_size and target (of the pattern's first source by code point, null last), repeats, taken.
+
+    Null text has size 0; rows of size 0 are taken 0 times. A null or empty source list counts as the
+    null source. Rows with equal keys are selected one by one. An empty table gives an empty result.
+    The order of selection depends on ``seed``, ``order`` (the key if not given) and size only, so reruns agree.
+    """
+    made = _decide(docs, key=key, sources=sources, **how)
+    out = made.sized.join(made.plan, "pattern", "left")
+    chosen = F.lit(None).cast("int")
+    if made.picked is not None:
+        out = out.join(made.picked.withColumn("chosen", F.lit(1)), "rid", "left")
+        chosen = F.col("chosen")
+    out = out.withColumn("repeats", made.repeats(F.col("cell"), F.col("size"), chosen, F.struct("full", "spans")))
+    return out.select(F.col("key").alias(key), "size", "pattern", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).alias("taken"))
+
+
+def take_mix(docs: DataFrame, *, sources: Column, order: Column, text: str = "text", **how) -> DataFrame:
+    """The rows that ``mix`` takes, with all their columns, a row for each time. Whole rows are not exchanged: what a row's number of times follows from is broadcast.
+
+    The plan holds a row for each pattern; rows picked one by one are joined by an exchange only beyond ``BROADCAST_ROWS``.
+    """
+    rows, row = with_row_id(docs)
+    made = _decide(rows, key=row, sources=sources, text=text, order=order, **how)
+    # names that are free among the columns, in a struct apart
+    own = f"{row}_own"
+    size = F.coalesce(F.regexp_count(text, F.lit(r"[^ \t-\r]+")), F.lit(0)).cast("long")
+    rows = rows.withColumn(own, F.struct(_pattern(sources).alias("pattern"), size.alias("size"), order.alias("place")))
+    plan = made.plan.select(F.col("pattern").alias(f"{own}_pattern"), F.struct("full", "spans").alias(f"{own}_plan"))
+    rows = rows.join(plan, F.col(own)["pattern"] == F.col(f"{own}_pattern"))
+    chosen = F.lit(None).cast("int")
+    if made.picked is not None:
+        picked = Staged(made.sized.join(made.picked, "rid", "left_semi").select(F.col("key").alias(f"{own}_row")), "mix-taken").df
+        rows = rows.join(small_side(picked), F.col(row) == F.col(f"{own}_row"), "left")
+        chosen = F.when(F.col(f"{own}_row").isNotNull(), 1)
+    size, plan = F.col(own)["size"], F.col(f"{own}_plan")
+    cell = made.cell(made.draw(F.col(own)["place"], size))
+    times = made.repeats(cell, size, chosen, plan)
+    rows = rows.withColumn(f"{own}_times", times).filter(F.col(f"{own}_times") > 0)
+    return rows.withColumn(f"{own}_time", F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"{own}_times")))).select(*[F.col(f"`{c}`") for c in docs.columns])

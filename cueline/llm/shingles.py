@@ -7,10 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text hashed at once; longer texts are cut between words.
+#: Bytes of text hashed at once; longer texts are hashed part by part.
 CHUNK = 1 << 20
 
-_U = np.uint64
+_U, _ALL = np.uint64, (1 << 64) - 1
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -30,37 +30,55 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def _power(base: int, n: int) -> np.ndarray:
+    """The first n powers; n is at most CHUNK + 2, so what is kept is bounded."""
     if base not in _powers or len(_powers[base]) < n:
-        steps = np.full(max(n, CHUNK + 1), base, dtype=_U)
+        steps = np.full(max(n, CHUNK + 2), base, dtype=_U)
         steps[0] = 1
         _powers[base] = np.cumprod(steps, dtype=_U)
     return _powers[base][:n]
 
 
-def hash_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, starts) of the words of a byte array; A-Z count as a-z."""
+def _raw_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(value, start, length) of the words of a byte array of at most CHUNK + 1 bytes; a word's value is the sum of its bytes' codes times powers of the base."""
     space = _SPACE[data]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).astype(np.int8)))
     starts, ends = edge[::2], edge[1::2]
     total = np.zeros(len(data) + 1, _U)
     np.cumsum(_BYTE[data] * _power(_BASE, len(data)), out=total[1:])
     value = (total[ends] - total[starts]) * _power(pow(_BASE, -1, 1 << 64), len(data) + 1)[starts]
-    return _mix(value + (ends - starts).astype(_U) * _U(_GOLD)), starts
+    return value, starts, ends - starts
 
 
-def _pieces(data: np.ndarray) -> Iterator[np.ndarray]:
-    """Parts of at most about CHUNK bytes, cut at white space (a longer word stays whole)."""
-    at = 0
-    while len(data) - at > CHUNK:
-        gaps = np.flatnonzero(_SPACE[data[at : at + CHUNK]])
-        if len(gaps):
-            end = at + int(gaps[-1]) + 1
-        else:
-            later = np.flatnonzero(_SPACE[data[at + CHUNK :]])
-            end = at + CHUNK + int(later[0]) if len(later) else len(data)
-        yield data[at:end]
-        at = end
-    yield data[at:]
+def _finish(value: np.ndarray, length: np.ndarray) -> np.ndarray:
+    return _mix(value + length.astype(_U) * _U(_GOLD))
+
+
+def hash_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, starts) of the words of a byte array of at most CHUNK + 1 bytes; A-Z count as a-z."""
+    value, starts, length = _raw_words(data)
+    return _finish(value, length), starts
+
+
+def long_words(data: np.ndarray) -> np.ndarray:
+    """Hashes of the words of a byte array of any length, CHUNK bytes at a time; a word may lie over several chunks."""
+    out, value, length = [], 0, 0  # of a word that reaches the end of the last chunk
+    for at in range(0, len(data), CHUNK):
+        part = data[at : at + CHUNK]
+        values, starts, lengths = _raw_words(part)
+        if length:
+            if len(starts) and starts[0] == 0:
+                values[0] = _U((value + int(values[0]) * pow(_BASE, length, 1 << 64)) & _ALL)
+                lengths[0] += length
+            else:
+                out.append(_finish(np.array([value], _U), np.array([length])))
+            value = length = 0
+        if len(starts) and not _SPACE[part[-1]]:
+            value, length = int(values[-1]), int(lengths[-1])
+            values, lengths = values[:-1], lengths[:-1]
+        out.append(_finish(values, lengths))
+    if length:
+        out.append(_finish(np.array([value], _U), np.array([length])))
+    return np.concatenate(out) if out else np.zeros(0, _U)
 
 
 def _sets(words: np.ndarray, bounds: np.ndarray, width: int) -> Iterator[np.ndarray]:
@@ -101,11 +119,11 @@ def shingle_sets(column: pa.Array, width: int = 5) -> Iterator[np.ndarray]:
 
         for v in column:
             data = np.frombuffer(v.as_buffer(), np.uint8) if v.is_valid else np.zeros(0, np.uint8)
-            if size + len(data) > CHUNK:
+            if size + len(data) + len(waiting) > CHUNK:
                 yield from together()
                 waiting, size = [], 0
             if len(data) > CHUNK:
-                words = np.concatenate([hash_words(p)[0] for p in _pieces(data)])
+                words = long_words(data)
                 yield from _sets(words, np.array([0, len(words)]), width)
             else:
                 waiting.append(data)

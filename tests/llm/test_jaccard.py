@@ -50,7 +50,7 @@ def edited(rng, words, rate):
 @pytest.mark.parametrize("chunk", [40, 1 << 20])
 def test_shingles_match_python(monkeypatch, chunk):
     monkeypatch.setattr(shingles, "CHUNK", chunk)
-    texts = [r[1] for r in awkward()] + [" ".join(WORDS[:200]), "UP up Up", "x" * 100]
+    texts = [r[1] for r in awkward()] + [" ".join(WORDS[:200]), "UP up Up", "x" * 100, "x" * 40 + " " + "y" * 39 + " z " + "x" * 81, " " * 50 + "z"]
     got = list(shingles.shingle_sets(pa.array([None if t is None else t.encode() for t in texts], pa.binary())))
     where = {}
     for t, s in zip(texts, got, strict=True):
@@ -60,9 +60,17 @@ def test_shingles_match_python(monkeypatch, chunk):
     assert all(len(v) == 1 for v in where.values()) and len({next(iter(v)) for v in where.values()}) == len(where)
 
 
-@pytest.mark.parametrize("least", [8, 2])
-def test_families_against_brute_force(spark, monkeypatch, least):
+def test_kept_powers_are_bounded():
+    text = b"x" * (3 * shingles.CHUNK + 5)
+    assert len(list(shingles.shingle_sets(pa.array([text, b"a " + text], pa.binary())))) == 2
+    assert all(len(p) <= shingles.CHUNK + 2 for p in shingles._powers.values())
+
+
+@pytest.mark.parametrize(("least", "slot", "bits"), [(8, 1000, 64), (2, 2, 64), (2, 5, 12)])
+def test_families_against_brute_force(spark, monkeypatch, least, slot, bits):
     monkeypatch.setattr(J, "LEAST_COMMON", least)
+    monkeypatch.setattr(J, "SLOT_ROWS", slot)
+    monkeypatch.setattr(J, "NODE_BITS", bits)
     rng = random.Random(least)
     line = [rng.choice(WORDS) for _ in range(25)]
     rows = []
@@ -89,6 +97,19 @@ def test_awkward_rows(spark):
     assert J.near_duplicates(table(spark, [])).collect() == []
 
 
+def test_class_numbers_are_distinct(spark, monkeypatch):
+    monkeypatch.setattr(J, "NODE_BITS", 14)  # some three clashes
+    classes = spark.createDataFrame([(bytes([i % 256, i // 256]),) for i in range(300)] * 2, "cls binary")
+    assert classes.select(J._node(classes).alias("node")).distinct().count() == 300
+
+
+def test_keys_of_any_type(spark):
+    rows = [(str(i), f"{base} {i % 2}", "en", "s", 0) for i, base in enumerate([" ".join(WORDS[:50])] * 3 + ["lone words"])]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, lang string, source string, n long").selectExpr("struct(doc_id AS a, length(text) AS b) AS id", "text")
+    got = {r.id.a: r.component_id.a for r in J.near_duplicates(docs, key="id").collect()}
+    assert got == {"0": "0", "1": "0", "2": "0", "3": "3"}
+
+
 def test_text_lookup_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(J, "BROADCAST_KEYS", 0)
     rng = random.Random(2)
