@@ -1,7 +1,9 @@
 """Corpus pipeline: documents through five stages, each calling one operator of the llm subpackage.
 
 Toxic documents go, one document of each group of near duplicates stays, documents with benchmark passages go, the rest is mixed to target weights (a row for each
-time that a document is taken), and the mix is written as token shards. Stages number their rows for themselves: ``doc_id`` may be null or shared.
+time that a document is taken), and the mix is written as token shards. Stages tell rows apart by file and row number, so ``doc_id`` may be null or shared. Nulls in any
+column, empty texts, repeated rows, empty tables and further columns of any name pass through every stage; a stage's decisions are joined to whole rows by a broadcast
+of the rows that go, and by an exchange only beyond ``BROADCAST_ROWS`` of them.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cueline.llm import decontaminate, jaccard, mixing, tokenizing, toxicity, wavelet
-from cueline.llm.common import Staged, documents
+from cueline.llm.common import Staged, documents, with_row_id, without_rows
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,41 +23,24 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return toxicity.keep_clean(docs, toxicity.train(toxicity.training_rows(docs, labels)))
 
 
-def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """The rows with a number of their own, written so that it stays, and its column's name."""
-    row = "row_number"
-    while row in map(str.lower, docs.columns):
-        row += "_"
-    return Staged(docs.withColumn(row, F.monotonically_increasing_id()), "numbered").df, row
-
-
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row with the least doc_id (null last) of each group that links join. Rows without words have no link; equal ones stay once."""
-    rows, row = numbered(docs)
-    groups = jaccard.near_duplicates(rows, key=row).select(F.col(row).alias("own"), "n_shingles", "component_id")
-    ids = rows.select(F.col(row).alias("own"), F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col(row).alias("own")).alias("rank"))
-    linked = groups.filter("n_shingles > 0").join(ids, "own").groupBy("component_id").agg(F.min("rank").alias("first"))
-    kept = Staged(linked.select(F.col("first.own").alias("kept")), "kept").df
-    empty = Staged(groups.filter("n_shingles = 0").select(F.col("own").alias("kept")), "wordless").df
-    wordless = rows.join(empty, F.col(row) == F.col("kept"), "left_semi").drop(row).distinct()
-    return rows.join(kept, F.col(row) == F.col("kept"), "left_semi").drop(row).unionByName(wordless)
+    """The row with the least doc_id (null last) of each group that links join. Rows without words have no link, so all of them stay."""
+    rows, row = with_row_id(docs)
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col(row).alias("row"))
+    groups = jaccard.near_duplicates(rows.select(key.alias("key"), "text"), key="key")
+    return without_rows(rows, row, groups.filter("n_shingles > 0 AND key <> component_id").select("key.row"))
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an occurrence of a benchmark window."""
-    rows, row = numbered(docs)
+    """Rows without an occurrence of a benchmark window."""
+    rows, row = with_row_id(docs)
     found = decontaminate.decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key=row)
-    hit = Staged(found.filter("contaminated").select(F.col(row).alias("hit")), "contaminated").df
-    return rows.join(hit, F.col(row) == F.col("hit"), "left_anti").drop(row)
+    return without_rows(rows, row, found.filter("contaminated").select(row))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each time that the mix takes a document. Its order is drawn from id and text, so that it does not hang on the row numbers."""
-    rows, row = numbered(docs)
-    mixed = mixing.mix(rows, key=row, sources=F.array("source"), order=F.xxhash64("doc_id", "text"))
-    taken = Staged(mixed.filter("repeats > 0").select(F.col(row).alias("taken_id"), "repeats"), "taken").df
-    rows = rows.join(taken, F.col(row) == F.col("taken_id"))
-    return rows.withColumn(f"{row}_", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select(*docs.columns)
+    """A row for each time that the mix takes a row. Its order is drawn from id and text, so that it does not hang on where rows lie."""
+    return mixing.take_mix(docs, sources=F.array("source"), order=F.xxhash64("doc_id", "text"))
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
