@@ -65,6 +65,14 @@ def _segments_without_envelope(rows):
     return rows.drop("source", "language")
 
 
+def _source(rows) -> dict:
+    """The envelope of a job's next file: the source that its rows name."""
+    from pyspark.sql import functions as F
+
+    row = rows.select("source").first()
+    return {"source": F.lit(row[0] if row else None).cast("string")}
+
+
 def _export_srt(a: argparse.Namespace) -> None:
     from cueline.sources import tables
 
@@ -76,16 +84,17 @@ def _build_index(a: argparse.Namespace) -> None:
     from cueline.operators import sentences
     from cueline.sources import tables
 
-    _write(a.output, _one(tables.to_json(sentences.sentence_index(_segments_without_envelope(_read("transcript", a.input))), "sentences"), "json", "the index"))
+    rows = _read("transcript", a.input)
+    _write(a.output, _one(tables.to_json(sentences.sentence_index(_segments_without_envelope(rows)), "sentences", _source(rows)), "json", "the index"))
 
 
 def _build_blocks(a: argparse.Namespace) -> None:
     from cueline.operators import sentences
     from cueline.sources import tables
 
-    rows = _segments_without_envelope(_read("sentences", a.input))
-    blocks = sentences.topic_blocks(rows, min_duration=a.min_duration, max_duration=a.max_duration, split_pause=a.split_pause)
-    _write(a.output, _one(tables.to_json(blocks, "blocks"), "json", "the blocks"))
+    rows = _read("sentences", a.input)
+    blocks = sentences.topic_blocks(_segments_without_envelope(rows), min_duration=a.min_duration, max_duration=a.max_duration, split_pause=a.split_pause)
+    _write(a.output, _one(tables.to_json(blocks, "blocks", _source(rows)), "json", "the blocks"))
 
 
 def _compact(a: argparse.Namespace) -> None:
@@ -112,7 +121,7 @@ def _timeline(a: argparse.Namespace):
 def _plan_to_timeline(a: argparse.Namespace) -> None:
     from cueline.sources import tables
 
-    _write(a.output, _one(tables.to_json(_timeline(a), "segments"), "json", "the timeline"))
+    _write(a.output, _one(tables.to_json(_timeline(a), "segments", _source(_read("blocks", a.blocks))), "json", "the timeline"))
 
 
 def _report_text(a: argparse.Namespace, rows) -> str:

@@ -144,11 +144,13 @@ def job_name(text: Column) -> Column:
 
 
 def json_object(content: Column) -> Column:
-    """The JSON object (as text) in a reply: of a fenced block, the whole reply, or from the first brace to the last; null if none parses."""
+    """The JSON object (as text) in a reply: of a fenced block, the whole reply, or, of a reply that is no JSON, from the first brace to the last; null if none parses to an object."""
     fenced = F.regexp_extract(content, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
     braces = F.regexp_extract(content, r"(?s)(\{.*\})", 1)
-    parsed = [F.when(F.schema_of_variant(F.try_parse_json(c)).startswith("OBJECT"), c) for c in (F.nullif(fenced, F.lit("")), F.btrim(content, F.lit(" \t\r\n")), F.nullif(braces, F.lit("")))]
-    return F.coalesce(*parsed)
+    parsed = lambda c: F.try_parse_json(c)
+    is_object = lambda c: F.coalesce(F.schema_of_variant(parsed(c)).startswith("OBJECT"), F.lit(False))
+    fenced, whole, braces = F.nullif(fenced, F.lit("")), F.btrim(content, F.lit(" \t\r\n")), F.nullif(braces, F.lit(""))
+    return F.when(is_object(fenced), fenced).when(is_object(whole), whole).when(parsed(whole).isNull() & is_object(braces), braces)
 
 
 def rate(text: Column) -> Column:

@@ -135,7 +135,7 @@ def speech_segments(results: DataFrame, unit: str = "auto") -> DataFrame:
     rows = results.select("job_id", F.posexplode(_items(F.col("payload"))).alias("item", "v"))
     v = F.col("v")
     info = F.try_variant_get(v, "$.sentence_info", "array<variant>")
-    rows = rows.withColumns({"info": info, "text": _first(v, "string", "text"), "marks": _first(v, "array<array<double>>", "timestamp", "timestamps")})
+    rows = rows.withColumns({"info": info, "text": _first(v, "string", "text"), "marks": _first(v, "array<array<double>>", "timestamps", "timestamp")})
     has = F.coalesce(F.size("info") > 0, F.lit(False))
     s = F.col("s")
     said = rows.filter(has).select("job_id", "item", F.posexplode("info").alias("part", "s")).filter("s IS NOT NULL")

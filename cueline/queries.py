@@ -40,7 +40,7 @@ _MS = "printf('%02d:%02d:%02d,%03d', ms // 3600000, (ms // 60000) % 60, (ms // 1
 
 @query(f"""SELECT doc_id, {_MS} AS srt, replace(left({_MS}, 11), ',', '.') AS compact, left({_MS}, 8) AS clock,
     CASE WHEN s >= 3600 THEN printf('%dh %dm %ds', s // 3600, (s // 60) % 60, s % 60) WHEN s >= 60 THEN printf('%dm %ds', s // 60, s % 60) ELSE printf('%ds', s) END AS duration
-    FROM (SELECT doc_id, n_chars * 977 AS ms, (n_chars * 977 // 1000 + CASE WHEN n_chars * 977 % 1000 > 500 THEN 1 ELSE 0 END) AS s FROM documents WHERE n_chars * 977 % 1000 <> 500)""")
+    FROM (SELECT doc_id, n_chars * 977 AS ms, (n_chars * 977 // 1000 + CASE WHEN n_chars * 977 % 1000 > 500 OR n_chars * 977 % 1000 = 500 AND n_chars * 977 // 1000 % 2 = 1 THEN 1 ELSE 0 END) AS s FROM documents)""")
 def srt_time_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = V.table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") * 977).alias("ms"))
     s = F.col("ms") / 1000

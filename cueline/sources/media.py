@@ -9,6 +9,7 @@ import json
 import re
 import shutil
 import subprocess
+import tempfile
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -45,7 +46,7 @@ def probe(video: str) -> dict:
 
 
 def _slice(start: float | None, duration: float | None) -> list[str]:
-    return [*(["-ss", f"{start:g}"] if start is not None else []), *(["-t", f"{duration:g}"] if duration is not None else [])]
+    return [*(["-ss", f"{start:.3f}"] if start is not None else []), *(["-t", f"{duration:.3f}"] if duration is not None else [])]
 
 
 def _filters(fps: float | None, crop: str | None) -> list[str]:
@@ -58,7 +59,7 @@ def extract_frames(video: str, pattern: str, *, fps: float, crop: str | None = N
 
 
 def extract_frame(video: str, output: str, timestamp: float, crop: str | None = None) -> None:
-    _run([_tool("ffmpeg"), "-y", "-ss", f"{timestamp:g}", "-i", video, *_filters(None, crop), "-frames:v", "1", output])
+    _run([_tool("ffmpeg"), "-y", "-ss", f"{timestamp:.3f}", "-i", video, *_filters(None, crop), "-frames:v", "1", output])
 
 
 def extract_audio(video: str, output: str, sample_rate: int = 16_000) -> None:
@@ -66,14 +67,20 @@ def extract_audio(video: str, output: str, sample_rate: int = 16_000) -> None:
 
 
 def iter_frames(video: str, *, width: int, height: int, fps: float, crop: str | None = None, start: float | None = None, duration: float | None = None) -> Iterator[np.ndarray]:
-    """Frames as (height, width, 3) BGR arrays, decoded as they are asked for."""
+    """Frames as (height, width, 3) BGR arrays, decoded as they are asked for; MediaError if ffmpeg fails or ends within a frame."""
     if crop and (m := re.match(r"\s*(\d+):(\d+):", crop)):
         width, height = int(m[1]), int(m[2])
     command = [_tool("ffmpeg"), "-v", "error", *_slice(start, duration), "-i", video, *_filters(fps, crop), "-f", "rawvideo", "-pix_fmt", "bgr24", "pipe:1"]
-    with subprocess.Popen(command, stdout=subprocess.PIPE, stderr=subprocess.PIPE) as process:
+    size = width * height * 3
+    with tempfile.TemporaryFile() as said, subprocess.Popen(command, stdout=subprocess.PIPE, stderr=said) as process:  # a file never blocks the tool
         try:
-            while len(raw := process.stdout.read(width * height * 3)) == width * height * 3:
+            while len(raw := process.stdout.read(size)) == size:
                 yield np.frombuffer(raw, np.uint8).reshape(height, width, 3)
+            if process.wait():
+                said.seek(0)
+                raise MediaError(said.read()[-2000:].decode("utf-8", "replace").strip() or f"ffmpeg ended with {process.returncode}")
+            if raw:
+                raise MediaError(f"the last frame has {len(raw)} of {size} bytes")
         finally:
             process.kill()
 
@@ -86,7 +93,7 @@ def render(video: str, segments: Sequence[tuple[float, float]], output: str, *,
     names = []
     for i, (start, end) in enumerate(segments):
         names.append(f"{work}/part_{i:04d}.mp4")
-        _run([_tool("ffmpeg"), "-y", "-ss", f"{start:g}", "-i", video, "-t", f"{end - start:g}", *codec, names[-1]])
+        _run([_tool("ffmpeg"), "-y", "-ss", f"{start:.3f}", "-i", video, "-t", f"{end - start:.3f}", *codec, names[-1]])
     listing = f"{work}/parts.txt"
     with open(listing, "w", encoding="utf-8") as f:
         f.writelines("file '{}'\n".format(n.replace("'", "'\\''")) for n in names)

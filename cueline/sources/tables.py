@@ -25,9 +25,15 @@ Expected output shape:
 """
 
 
+#: File names that say what a file holds and not whose it is: such a file's job is its folder.
+COMMON_NAMES = ("transcript", "sentence_index", "sentences", "index", "blocks", "topic_blocks", "edit_plan", "plan", "timeline", "quality", "quality_report")
+
+
 def job_of_path(path: Column) -> Column:
-    """A file's name without folder and ending."""
-    return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
+    """A file's name without folder and ending, or, of files named for what they hold (``runs/<job>/transcript.json``), the folder's name."""
+    parts = F.split(path, "/")
+    name = F.regexp_replace(F.element_at(parts, -1), r"\.[^.]*$", "")
+    return F.when(F.lower(name).isin(*COMMON_NAMES) & (F.size(parts) > 1), F.url_decode(F.try_element_at(parts, F.lit(-2)))).otherwise(F.url_decode(name))
 
 
 def read_table(spark: SparkSession, path: str, kind: str, part: str | None = None) -> DataFrame:

@@ -55,3 +55,41 @@ def test_speech_reader(spark):
     sound = spark.createDataFrame([("j", b"x")], "job_id string, content binary")
     heard = R.read_speech(sound, lambda: lambda raw: '[{"text": "你好", "timestamp": [[0,240],[240,500]]}]')
     assert [(r.id, r.end) for r in R.speech_segments(heard).collect()] == [("seg_0001", 0.5)]
+
+
+def test_jobs_of_folders_stay_apart(spark, tmp_path):
+    from cueline.sources import tables
+
+    for job in ("a b", "c"):
+        (tmp_path / "runs" / job).mkdir(parents=True)
+        (tmp_path / "runs" / job / "transcript.json").write_text('{"source": "%s.mp4", "segments": [{"id": "s", "start": 0, "end": 1, "text": "x"}]}' % job, encoding="utf-8")
+    (tmp_path / "runs" / "c" / "own.json").write_text('{"segments": [{"id": "s", "start": 0, "end": 1, "text": "x"}]}', encoding="utf-8")
+    rows = tables.read_table(spark, f"{tmp_path}/runs/*/*.json", "transcript").select("job_id", "source").collect()
+    assert sorted(map(tuple, rows), key=repr) == [("a b", "a b.mp4"), ("c", "c.mp4"), ("own", None)]
+
+
+def test_frames_of_a_failed_tool_raise(monkeypatch, tmp_path):
+    import pytest
+    from cueline.sources import media
+
+    tool = tmp_path / "tool"
+    monkeypatch.setattr(media, "_tool", lambda name: str(tool))
+    for script, frames, error in (("head -c 24 /dev/zero", 2, None), ("head -c 30 /dev/zero", 2, "6 of 12"), ("head -c 12 /dev/zero; echo no such stream >&2; exit 3", 1, "no such stream")):
+        tool.write_text(f"#!/bin/sh\n{script}\n")
+        tool.chmod(0o755)
+        got = []
+        if error:
+            with pytest.raises(media.MediaError, match=error):
+                got.extend(media.iter_frames("v", width=2, height=2, fps=1))
+        else:
+            got.extend(media.iter_frames("v", width=2, height=2, fps=1, start=12345.678))
+    assert media._slice(12345.678, 1e6) == ["-ss", "12345.678", "-t", "1000000.000"]
+
+
+def test_replies_that_are_lists_are_no_objects(spark):
+    from cueline.functions import text as T
+    from pyspark.sql import functions as F
+
+    replies = ['[{"a":1}]', '{"a":1}', 'say {"a":1} end', "```json\n{\"a\":1}\n```", "not json", ""]
+    rows = spark.createDataFrame([(i, r) for i, r in enumerate(replies)], "i int, r string")
+    assert [r[1] for r in rows.select("i", T.json_object(F.col("r"))).orderBy("i").collect()] == [None, '{"a":1}', '{"a":1}', '{"a":1}', None, None]
