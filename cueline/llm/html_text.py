@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,9 +41,12 @@ ENDS: dict[str, tuple[frozenset[str], frozenset[str]]] = {
 }
 _P_STOP = frozenset("td th caption table button li dd".split())
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</(?P<end>[a-zA-Z][^\s/>]*)[^>]*>|<(?P<start>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(?P<loose>[a-zA-Z][^\s/>]*)[^>]*>", re.S
-)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+INSIDE = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+")
+#: Tags whose quotes do not close that a page may have; after these a tag ends at its first ``>``, so that reading stays linear.
+LOOSE_TAGS = 16
+#: Longest line of a table cell that is aligned, and most lines of such a cell; levels of lists that are indented. They bound the text that padding adds.
+CELL_WIDTH, CELL_LINES, LIST_LEVELS = 80, 3, 16
 ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 SPACE = re.compile(r"[ \t\n\r\f]+")
 UNSEEN = re.compile(r"display\s*:\s*none|content-visibility\s*:\s*hidden", re.I)
@@ -59,43 +62,83 @@ class Node:
         self.tag, self.attrs, self.children = tag, attrs or {}, []
 
 
+class Open:
+    """The open elements; where the last of each tag is, so that ending one costs no walk."""
+
+    def __init__(self, root: Node):
+        self.stack = [root]
+        self.at: dict[str, list[int]] = {}
+
+    def last(self, tags: Iterable[str]) -> int:
+        return max((p[-1] for t in tags if (p := self.at.get(t))), default=0)
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def close(self, tags: frozenset[str], stop: frozenset[str]) -> None:
+        """End the last open element of these tags and all in it, if none of ``stop`` opened after it."""
+        i = self.last(tags)
+        if i and i >= self.last(stop):
+            while len(self.stack) > i:
+                self.at[self.stack.pop().tag].pop()
+
+
 def parse(page: str) -> Node:
-    """The page's tree. Unknown end tags are ignored, elements left open end with the page."""
+    """The page's tree. Unknown end tags are ignored, elements left open end with the page, and so do a comment and a tag that do not end."""
     root = Node("#root")
-    stack = [root]
-
-    def close(tags: frozenset[str], stop: frozenset[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                del stack[i:]
-                return
-            if stack[i].tag in stop:
-                return
-
-    at = 0
-    while at < len(page):
-        m = TOKEN.search(page, at)
-        text = page[at : m.start() if m else len(page)]
+    nodes = Open(root)
+    stack, close = nodes.stack, nodes.close
+    at, loose = 0, 0
+
+    def add(text: str) -> None:
         if text:
             if stack[-1].tag == "head" and text.strip():
-                stack.pop()
+                close(frozenset(["head"]), frozenset())
             stack[-1].children.append(html.unescape(text) if "&" in text else text)
+
+    size, begun = len(page), 0  # text from ``begun`` on is not added yet
+    while 0 <= (at := page.find("<", at)) < size - 1:
+        mark = page[at + 1]
+        if not (mark in "!?/" or mark.isascii() and mark.isalpha()):
+            at += 1
+            continue
+        if mark in "!?":
+            add(page[begun:at])
+            end = page.find("-->" if page.startswith("<!--", at) else ">", at + (4 if page.startswith("<!--", at) else 2))
+            at = begun = size if end < 0 else end + (3 if page.startswith("<!--", at) else 1)
+            continue
+        m = NAME.match(page, at + (2 if mark == "/" else 1))
         if not m:
-            break
-        at = m.end()
-        if m["end"]:
-            tag = m["end"].lower()
+            at += 1
+            continue
+        add(page[begun:at])
+        tag, inside = m.group().lower(), ""
+        if mark == "/":
+            end = page.find(">", m.end())
+        else:
+            end = -1
+            if loose < LOOSE_TAGS:
+                found = INSIDE.match(page, m.end())
+                if found.end() < size and page[found.end()] == ">":
+                    end, inside = found.end(), found.group()
+                else:
+                    loose += 1
+            if end < 0:
+                end = page.find(">", m.end())
+        if end < 0:
+            return root
+        slash = page[end - 1] == "/"
+        at = begun = end + 1
+        if mark == "/":
             if tag == "br":
                 stack[-1].children.append(Node("br"))
             else:
                 close(frozenset([tag]), _CELL_STOP if tag not in ("table", "body", "html", "thead", "tbody", "tfoot") else frozenset())
             continue
-        tag = (m["start"] or m["loose"] or "").lower()
-        if not tag:
-            continue
         if tag not in HEAD and stack[-1].tag == "head" or tag in BODY:
             close(frozenset(["head"]), frozenset())
-        if tag in ("html", "body") and any(n.tag == tag for n in stack):
+        if tag in ("html", "body") and nodes.at.get(tag):
             continue
         if tag in BLOCK and tag not in ("li", "dt", "dd", "tr", "caption", "option", "optgroup"):
             close(frozenset(["p"]), _P_STOP)
@@ -106,18 +149,20 @@ def parse(page: str) -> Node:
             elif tag in _GROUPS:
                 close(frozenset(["tr"]), _CELL_STOP)
             close(ends, stop)
-        attrs = {a[1].lower(): html.unescape(a[2] or a[3] or a[4] or "") for a in ATTR.finditer(m["attrs"] or "")}
+        attrs = {a[1].lower(): html.unescape(a[2] or a[3] or a[4] or "") for a in ATTR.finditer(inside)} if inside.strip(" /\n\t") else {}
         node = Node(tag, attrs)
         stack[-1].children.append(node)
-        if m.group().endswith("/>") and any(n.tag in FOREIGN_HIDDEN for n in stack):
+        if slash and nodes.last(FOREIGN_HIDDEN):
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
-            raw = page[at : end.start() if end else len(page)]
+            end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
+            raw = page[at : end.start() if end else size]
             node.children.append(html.unescape(raw) if tag in ("title", "textarea") else raw)
-            at = end.end() if end else len(page)
+            last = page.find(">", end.end()) if end else -1
+            at = begun = size if last < 0 else last + 1
         elif tag not in VOID:
-            stack.append(node)
+            nodes.push(node)
+    add(page[begun:])
     return root
 
 
@@ -155,7 +200,7 @@ class Writer:
             self.parts.append("\n" * self.gap)
             self.gap, self.fresh = 0, True
         if self.fresh:
-            self.parts.append("  " * max(0, self.depth - 1))
+            self.parts.append("  " * min(LIST_LEVELS, max(0, self.depth - 1)))
             self.parts.extend(self.marks)
             self.marks = []
             self.fresh = False
@@ -188,31 +233,58 @@ class Writer:
         return "\n".join(lines)
 
 
-def _grid(rows: list[list[tuple[str, int]]]) -> str:
-    """Cells in columns as wide as their widest cell; a cell over several columns does not widen them."""
-    widths: list[int] = []
-    for row in rows:
-        at = 0
-        for text, span in row:
-            widths.extend([0] * (at + span - len(widths)))
-            if span == 1:
-                widths[at] = max(widths[at], len(text))
-            at += span
-    lines = []
-    for row in rows:
-        line, at = [], 0
-        for text, span in row:
-            line.append(text.ljust(sum(widths[at : at + span]) + 2 * (span - 1)))
-            at += span
-        lines.append("  ".join(line).rstrip())
-    return "\n".join(x for x in lines if x)
+#: A table cell: its lines, and the columns and rows it spans.
+Cell = tuple[list[str], int, int]
+
+
+def _grid(rows: list[list[Cell]]) -> list[str]:
+    """Lines of a table. Cells stand in columns as wide as their widest cell (those over several columns, or too long to be aligned, do not widen them).
+
+    A cell over several rows leaves its place in the rows below empty. A row with a cell of more than CELL_LINES lines or one longer than
+    CELL_WIDTH, as pages laid out by tables have, is written cell by cell.
+    """
+    aligned = [all(len(lines) <= CELL_LINES and all(len(x) <= CELL_WIDTH for x in lines) for lines, _, _ in row) for row in rows]
+    placed: list[list[tuple[int, int, list[str]]]] = []  # first column, past column, lines
+    widths: dict[int, int] = {}
+    below: dict[int, int] = {}  # column -> rows for which a cell above still takes it
+    for row, even in zip(rows, aligned, strict=True):
+        col, now = 0, []
+        taken, below = below, {c: n - 1 for c, n in below.items() if n > 1}
+        for lines, span, deep in row:
+            while col in taken:
+                col += 1
+            now.append((col, col + span, lines))
+            if span == 1 and even:
+                widths[col] = max(widths.get(col, 0), *map(len, lines), 0)
+            if deep > 1:
+                below |= dict.fromkeys(range(col, col + span), deep - 1)
+            col += span
+        placed.append(now)
+    # where each column begins, of those that hold text
+    begins, x = {}, 0
+    for c in sorted(widths):
+        begins[c] = x
+        x += widths[c] + 2 if widths[c] else 0
+    out = []
+    for now, even in zip(placed, aligned, strict=True):
+        if not even:
+            out += [x for _, _, lines in now for x in lines]
+            continue
+        for k in range(max((len(lines) for _, _, lines in now), default=0)):
+            line = ""
+            for col, _, lines in now:
+                if k < len(lines) and lines[k]:
+                    gap = "  " if line else ""
+                    line = (line + gap).ljust(min(begins.get(col, 0), len(line) + CELL_WIDTH)) + lines[k]
+            out.append(line.rstrip())
+    return [x for x in out if x]
 
 
 def render(root: Node) -> str:
     """All visible text of a tree. Walks without recursion, so depth is no limit."""
     flows = [Writer()]
     lists: list[list] = []  # [kind, number] of open lists
-    tables: list[list[list[tuple[str, int]]]] = []
+    tables: list[list[list[Cell]]] = []
     pre = 0
     stack: list[tuple[Node | str, bool, bool, str]] = [(root, False, True, "")]
     while stack:
@@ -226,17 +298,15 @@ def render(root: Node) -> str:
         label = tag == "text" and within == "svg"
         if leave:
             if tag in ("td", "th") and tables:
-                span = node.attrs.get("colspan", "1")
-                cell = SPACE.sub(" ", flows.pop().result()).strip()
-                (tables[-1] or tables[-1].append([]) or tables[-1])[-1].append((cell, max(1, min(100, int(span))) if span.isdecimal() and span.isascii() else 1))
+                lines = [x for x in flows.pop().result().split("\n") if x.strip()]
+                span, deep = (max(1, min(100, int(n))) if n.isdecimal() and n.isascii() and len(n) < 10 else 1 for n in (node.attrs.get("colspan", "1"), node.attrs.get("rowspan", "1")))
+                (tables[-1] or tables[-1].append([]) or tables[-1])[-1].append((lines, span, deep))
                 continue
             if tag == "table":
-                done = _grid(tables.pop())
-                if done:
-                    for i, row in enumerate(done.split("\n")):
-                        if i:
-                            out.block(False)
-                        out.pre(row)
+                for i, row in enumerate(_grid(tables.pop())):
+                    if i:
+                        out.block(False)
+                    out.pre(row)
             if tag in _LISTS:
                 lists.pop()
                 out.depth -= 1

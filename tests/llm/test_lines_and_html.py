@@ -1,3 +1,4 @@
+import time
 from collections import defaultdict
 from html.parser import HTMLParser
 
@@ -73,12 +74,34 @@ CASES = [
     ("<select><option>a<option>b</select>", "a\nb"),
     ("<a href=\"unclosed>x</a> y", "x y"),
     ("a&nbsp;b  \n c", "a\xa0b c"),
-    ("<table><tr><td>a<table><tr><td>in</table><td>b</table>", "a in  b"),
+    ("<table><tr><td>a<table><tr><td>in</table><td>b</table>", "a   b\nin"),
+    ("<table><tr><td><p>First</p><p>Second</p><ul><li>one<li>two</ul></table>", "First\nSecond\n- one\n- two"),
+    ("<table><tr><td rowspan=2>A<td>B<tr><td>C</table>", "A  B\n   C"),
+    ("<table><tr><td>x<td><table><tr><td>1<td>2<tr><td>3<td>4</table></table>", "x  1  2\n   3  4"),
+    ("<table><tr><th>Price<br>(USD)<th>Name<tr><td>1<td>long name<td>z</table>", "Price  Name\n(USD)\n1      long name  z"),
+    ("<table><tr><td>nav<td>" + "long " * 30 + "<tr><td>a<td>b</table>", "nav\n" + ("long " * 30).strip() + "\na  b"),
+    ("a<!-- no end <b>x", "a"),
+    ("a<b class='no end", "a"),
+    ("1 <2 <3", "1 <2 <3"),
     ("<input type=hidden value=x>after<template>no</template>", "after"),
     ("<body>" + "<div>" * 5000 + "deep", "deep"),
 ]
 
 
+HOSTILE = ["<a ", "<a \"", "<a \"'", "<div>", "<p><table><div>", "</x><div>", "<ul><li>x", "<svg><g/>", "< ", "<tr><td>a<td colspan=100>b", "<tr><td rowspan=100>a", "<li>", "<a '>\"<a \">'", "<!", "<script>"]
+
+
+@pytest.mark.parametrize("part", HOSTILE)
+def test_time_and_text_follow_the_page(part):
+    def took(n):
+        began = time.thread_time()
+        text = H.page_text("<table>" * (part[:3] == "<tr") + part * n)
+        return time.thread_time() - began, len(text)
+
+    (few, _), (many, size) = took(40_000 // len(part)), took(320_000 // len(part))
+    assert many < 24 * few + 0.5 and size < 60 * 320_000
+
+
 @pytest.mark.parametrize("page,want", CASES)
 def test_layout(page, want):
     assert H.page_text(page) == want
