@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Staged, small_side
+
 #: log2 of a sketch's registers; its standard error is 1.04 / sqrt(2^10), about 3 %. Estimates within four errors of the threshold are recounted.
 REGISTERS, BAND = 10, 0.13
 #: Scripts that are written without spaces: each letter counts as a word. Other words are parted by any white space.
@@ -32,12 +34,13 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
 
 def boilerplate(docs: DataFrame, *, min_sites: int, min_words: int) -> DataFrame:
     """Hashes of the lines shown by ``min_sites`` sites or more."""
-    lines = _lines(docs, min_words).filter(F.col("site").isNotNull())
+    lines = _lines(docs, min_words).filter(F.col("site").isNotNull()).select("line", "site")
     sketches = lines.groupBy("line").agg(F.hll_sketch_agg("site", F.lit(REGISTERS)).alias("sketch"))
     spread = sketches.select("line", F.hll_sketch_estimate("sketch").alias("sites")).filter(F.col("sites") >= (1 - BAND) * min_sites - 0.5)
     near = F.col("sites") <= (1 + BAND) * min_sites + 0.5
     far = spread.filter(~near).select("line")
-    exact = lines.join(spread.filter(near).select("line"), "line").groupBy("line", "site").agg(F.count("*")).groupBy("line").agg(F.count("*").alias("sites"))
+    # a line's sites are made distinct first, so that a line of very many rows brings a row for each site to the join
+    exact = lines.distinct().join(spread.filter(near).select("line"), "line").groupBy("line").agg(F.count("*").alias("sites"))
     return far.union(exact.filter(F.col("sites") >= min_sites).select("line"))
 
 
@@ -48,7 +51,7 @@ def remove_boilerplate(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     one blank line. Every row gives a row; rows of equal or null keys are treated alike. Other columns are ignored.
     """
     docs = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(site).cast("string").alias("site"))
-    bad = boilerplate(docs, min_sites=min_sites, min_words=min_words)
+    bad = small_side(Staged(boilerplate(docs, min_sites=min_sites, min_words=min_words), "boilerplate").df)
     # the lines to remove from each key's texts: distinct boilerplate lines of a document
     hit = _lines(docs, min_words).join(bad, "line").groupBy(F.col("key").alias("hit_key")).agg(F.collect_set("line").alias("bad"))
     rows = docs.join(hit, F.col("key").eqNullSafe(F.col("hit_key")), "left")
