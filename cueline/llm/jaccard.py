@@ -28,6 +28,8 @@ from .shingles import shingle_sets
 MAX_COMMON, LEAST_COMMON = 1 << 18, 8
 #: Rows of a column that all its other rows are multiplied with at first.
 CENTRES = 8
+#: Columns, at most, that two rows of different components must share among the earliest of both.
+EARLY = 4
 #: Documents of a common n-gram for each part that its column is dealt out in.
 SLOT_ROWS = 1000
 #: N-grams whose local counts a task holds at once.
@@ -136,7 +138,7 @@ def _leading_rows(docs: DataFrame, common: tuple[np.ndarray, np.ndarray, np.ndar
                 is_late = late[at] == grams if len(late) else np.zeros(len(grams), bool)
                 place[is_late] = (1 << 62) + places[at[is_late]]
                 p = leading(len(grams), percent)
-                first = np.argpartition(place, p - 1)[:p]
+                first = np.argsort(place, kind="stable")[:p]
                 rare, often = first[~is_late[first]], first[is_late[first]]
                 out.append((cls, len(grams), p, int(place[first].max()), grams[rare].view(np.int64), grams[often].view(np.int64), slots[at[often]]))
             cols = list(zip(*out, strict=True)) if out else [()] * 7
@@ -197,22 +199,23 @@ def _sets(docs: DataFrame, nodes: DataFrame, members: DataFrame, node: Column, w
 
 
 def _columns(lead: DataFrame) -> DataFrame:
-    """(gram, slots, node) of the columns that hold two rows or more.
+    """(gram, slots, node, at) of the columns that hold two rows or more; ``at`` is the column's place among the row's, from 0.
 
     A rare n-gram's rows meet in one task. A common one's do not: it is known to be seen twice, so its rows are dealt out by n-gram and row.
     """
-    rare = lead.select(F.explode("rare").alias("gram"), "node")
+    rare = lead.select(F.posexplode("rare").alias("at", "gram"), "node")
     w = Window.partitionBy("gram")
     rare = rare.withColumns({"low": F.min("node").over(w), "high": F.max("node").over(w)}).filter("low < high")
-    rare = rare.select("gram", F.lit(1).cast("long").alias("slots"), "node").distinct()  # a class may come from two tasks
-    often = lead.select(F.expr("inline(arrays_zip(often, slots))"), "node").select(F.col("often").alias("gram"), "slots", "node").distinct()
+    rare = rare.select("gram", F.lit(1).cast("long").alias("slots"), "node", "at").distinct()  # a class may come from two tasks
+    often = lead.select(F.posexplode(F.arrays_zip("often", "slots")).alias("at", "c"), F.size("rare").alias("before"), "node")
+    often = often.select(F.col("c.often").alias("gram"), F.col("c.slots").alias("slots"), "node", (F.col("at") + F.col("before")).alias("at")).distinct()
     return rare.union(often)
 
 
 def _star(index: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """Entries of each column's rows with its central rows: those with the fewest leading columns of their own."""
     own = index.groupBy("node").agg(F.count("*").alias("s")).join(sizes, "node").select(*ROW, (F.col("p") - F.col("s")).alias("own"))
-    index = Staged(index.join(own, "node"), "columns").df
+    index = Staged(index.drop("at").join(own, "node"), "columns").df
 
     def rows(many: bool) -> DataFrame:
         return index.filter("slots > 1" if many else "slots = 1")
@@ -233,27 +236,41 @@ def _star(index: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
 
 
 def _crossed(index: DataFrame, sizes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Entries of each column's rows of different components.
+    """Pairs (a_node, b_node) of rows of different components that share enough early columns.
 
     Two such rows are not both in a column's largest component: its other rows meet all rows, and no row meets its own component.
     """
-    info = sizes.join(labels, "node", "left").select(*ROW, F.coalesce("comp", "node").alias("comp"))
-    rows = index.join(info, "node")
+    info = sizes.join(labels, "node", "left").select("node", "n", F.coalesce("comp", "node").alias("comp"))
     one, column = Window.partitionBy("gram", "comp"), Window.partitionBy("gram")
+    rows, kept = index.join(info, "node"), ["gram", "node", "n", "at", "comp"]
     few = rows.filter("slots = 1").withColumn("rows", F.count("*").over(one))
     few = few.withColumns({"low": F.min("comp").over(column), "high": F.max("comp").over(column), "top": F.max(F.struct("rows", "comp")).over(column)["comp"]}).filter("low < high")
-    few = few.select("gram", *ROW, "comp", (F.col("comp") != F.col("top")).alias("small"))
+    few = few.select(*kept, (F.col("comp") != F.col("top")).alias("small"))
     many = rows.filter("slots > 1")
     largest = many.groupBy("gram", "comp").agg(F.count("*").alias("rows")).groupBy("gram")
     largest = largest.agg(F.max_by("comp", F.struct("rows", "comp")).alias("top"), F.count("*").alias("comps")).filter("comps > 1").select("gram", "top")
     many = many.join(F.broadcast(largest), "gram")  # at most MAX_COMMON rows
-    known = Staged(few.union(many.select("gram", *ROW, "comp", (F.col("comp") != F.col("top")).alias("small"))), "open").df
+    known = Staged(few.union(many.select(*kept, (F.col("comp") != F.col("top")).alias("small"))), "open").df
     other = (F.col("a_comp") != F.col("b_comp")) & (~F.col("b_small") | (F.col("a_node") < F.col("b_node")))
-    met = _named(known.filter("small"), "a").join(_named(known, "b"), "gram").filter(other & _fits(percent))
+    least, wanted = _early(percent)
+    early = (F.col("a_at") < F.col("a_n") - least + wanted) & (F.col("b_at") < F.col("b_n") - least + wanted)
+    met = _named(known.filter("small"), "a").join(_named(known, "b"), "gram").filter(other & _fits(percent) & early)
     a_first = F.col("a_node") < F.col("b_node")
-    a = [F.when(a_first, F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")).alias(f"a_{c}") for c in ROW]
-    b = [F.when(a_first, F.col(f"b_{c}")).otherwise(F.col(f"a_{c}")).alias(f"b_{c}") for c in ROW]
-    return met.select(*a, *b)
+    a = [F.when(a_first, F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")).alias(f"a_{c}") for c in ("node", "n")]
+    b = [F.when(a_first, F.col(f"b_{c}")).otherwise(F.col(f"a_{c}")).alias(f"b_{c}") for c in ("node", "n")]
+    pairs = met.select(*a, *b).groupBy("a_node", "a_n", "b_node", "b_n").agg(F.count("*").alias("shared"))
+    return pairs.filter(F.col("shared") >= wanted).select("a_node", "b_node")
+
+
+def _early(percent: int) -> tuple[Column, Column]:
+    """Of rows a and b: columns that they must share, and how many of these must be early in both.
+
+    The first k columns that they share have all others that they must share after them, so they lie among the first n - least + k of
+    each row; k is as many as EARLY and the rows' leading columns allow.
+    """
+    least = F.ceil(percent * (F.col("a_n") + F.col("b_n")) / (100 + percent))
+    rest_a, rest_b = (F.ceil(F.col(n) * percent / 100) - 1 for n in ("a_n", "b_n"))
+    return least, F.least(F.lit(EARLY).cast("long"), least - rest_a, least - rest_b)
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
@@ -287,7 +304,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     links = links_among(_accumulate(_star(index.df, sizes.df, percent), percent))
     labels = components(links.df)
-    more = links_among(_accumulate(_crossed(index.df, sizes.df, labels.df, percent), percent))
+    more = links_among(_crossed(index.df, sizes.df, labels.df, percent))
     if not more.df.isEmpty():
         labels.drop()
         labels = components(links.df.union(more.df))
