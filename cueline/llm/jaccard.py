@@ -29,7 +29,7 @@ MAX_COMMON, LEAST_COMMON = 1 << 18, 8
 #: Rows of a column that all its other rows are multiplied with at first.
 CENTRES = 8
 #: Columns, at most, that two rows of different components must share among the earliest of both.
-EARLY = 4
+EARLY = 2
 #: Documents of a common n-gram for each part that its column is dealt out in.
 SLOT_ROWS = 1000
 #: N-grams whose local counts a task holds at once.
