@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import Staged, small_side
+
 SHINGLE = 5
 BIN_BITS, BITS = 7, 8
 BINS = 1 << BIN_BITS
@@ -78,8 +80,8 @@ def with_next(rows: DataFrame) -> DataFrame:
     tops = rows.groupBy("bucket").agg(F.max("key").alias("top"))  # a row per bucket
     order = Window.orderBy("bucket")
     above = F.coalesce(F.lead("bucket").over(order), F.first("bucket").over(order))
-    tops = tops.select(F.col("bucket").alias("own"), "top", above.alias("above"))
-    edge = rows.join(F.broadcast(tops), (F.col("bucket") == F.col("own")) & F.col("key").eqNullSafe(F.col("top")))
+    tops = Staged(tops.select(F.col("bucket").alias("own"), "top", above.alias("above")), "tops").df
+    edge = rows.join(small_side(tops), (F.col("bucket") == F.col("own")) & F.col("key").eqNullSafe(F.col("top")))
     edge = edge.groupBy("above").agg(F.min("text").alias("text"))  # equal keys: the first by text
     edge = edge.select(F.col("above").alias("bucket"), F.lit(1).alias("edge"), F.lit(None).cast("long").alias("key"), "text")
     both = rows.select("bucket", F.lit(0).alias("edge"), "key", "text").union(edge).withColumn("print", packed_fingerprint("text"))
