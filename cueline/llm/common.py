@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -117,6 +120,25 @@ def ascii_lower(text: Column) -> Column:
     )
 
 
+_kept: dict[str, dict] = {}
+
+
+def kept_for(operator: str) -> dict:
+    """What this process keeps between tasks for one operator.
+
+    Python workers are reused by the tasks of other operators: what those kept is let go and given back to the system first, so
+    that an executor never holds the caches of two operators.
+    """
+    if operator not in _kept:
+        _kept.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+        _kept[operator] = {}
+    return _kept[operator]
+
+
 def single_threaded() -> None:
     """Executors own their cores: native libraries in a worker stay at one thread."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")

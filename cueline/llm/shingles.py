@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from .common import kept_for
+
 #: Bytes of text hashed at once; longer texts are hashed part by part.
 CHUNK = 1 << 20
 
@@ -106,6 +108,7 @@ def shingle_sets(column: pa.Array, width: int = 5) -> Iterator[np.ndarray]:
 
     A text of fewer than ``width`` words is one shingle.
     """
+    kept_for("shingles")  # beside the powers nothing is kept
     with np.errstate(over="ignore"):
         waiting: list[np.ndarray] = []
         size = 0

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import single_threaded
+from .common import kept_for, single_threaded
 
 #: Pieces in one generation of a worker's cache; two generations are kept.
 CACHE_PIECES = 300_000
@@ -29,8 +29,6 @@ _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: Texts of which not every space and line end stands alone between two other characters.
 _NOT_PLAIN = f"^[ \n]|[ \n]$|[ \n][ \n]|[{_ODD_SPACE}]"
 
-_loaded: dict[str, object] = {}
-
 
 def vocabulary_path(name: str) -> str:
     import public_tokenizers
@@ -40,15 +38,16 @@ def vocabulary_path(name: str) -> str:
 
 def load(path: str):
     """The tokenizer of a .json file, once per process."""
-    if path not in _loaded:
+    loaded = kept_for("tokenizing")
+    if path not in loaded:
         single_threaded()
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
         t.no_truncation()
         t.no_padding()
-        _loaded[path] = t
-    return _loaded[path]
+        loaded[path] = t
+    return loaded[path]
 
 
 class PieceCache:
@@ -189,11 +188,9 @@ class CountEncoder:
         return np.diff(total[bounds - bounds[0]])
 
 
-_encoders: dict[tuple, object] = {}
-
-
 def encoder(kind: type, path: str):
     """One encoder per kind and file in a process, so that its cache outlives a task."""
-    if (kind, path) not in _encoders:
-        _encoders[kind, path] = kind(path)
-    return _encoders[kind, path]
+    encoders = kept_for("tokenizing")
+    if (kind, path) not in encoders:
+        encoders[kind, path] = kind(path)
+    return encoders[kind, path]

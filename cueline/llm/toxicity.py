@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import kept_for, small_batches
 
 SENTENCE = re.compile(r"[^.!?\n。！？]+[.!?。！？]*")
 WORD = re.compile(r"[^\W\d_]+")
@@ -161,6 +161,7 @@ def score_documents(docs: DataFrame, model: Model, *, key: str = "doc_id", text:
     sentence = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("chance", pa.float64())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_for("toxicity")  # nothing: words are remembered for a task
         scorer = Scorer(shared.value)
         for b in batches:
             scores, offending = [], []
@@ -185,6 +186,7 @@ def keep_clean(docs: DataFrame, model: Model, *, text: str = "text", threshold:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_for("toxicity")  # nothing: words are remembered for a task
         scorer = Scorer(shared.value)
         for b in batches:
             yield b.filter(pa.array([scorer.document(t.as_py() or "")[0] < threshold for t in b.column(text)], pa.bool_()))
