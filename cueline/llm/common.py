@@ -9,6 +9,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -123,6 +124,14 @@ def ascii_lower(text: Column) -> Column:
 _kept: dict[str, dict] = {}
 
 
+def give_back() -> None:
+    """Return to the system what this process has freed but still holds."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def kept_for(operator: str) -> dict:
     """What this process keeps between tasks for one operator.
 
@@ -131,14 +140,23 @@ def kept_for(operator: str) -> dict:
     """
     if operator not in _kept:
         _kept.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-            trim(0)
+        give_back()
         _kept[operator] = {}
     return _kept[operator]
 
 
+def returning(scan: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function of a task's batches, whose worker gives its free memory back at the task's end: idle workers wait beside busy ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from scan(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def single_threaded() -> None:
     """Executors own their cores: native libraries in a worker stay at one thread."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")

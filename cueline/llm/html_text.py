@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import returning, small_batches
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -364,5 +364,5 @@ def extract(pages: DataFrame, *, key: str = "page_id", page: str = "html") -> Da
             n = [len(t.split("\n")) if t else 0 for t in texts]
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(texts, pa.string()), pa.array(n, pa.int64())], ["key", "text", "n_lines"])
 
-    out = pages.select(F.col(key).alias("key"), F.col(page).alias("page")).mapInArrow(run, f"key {kind}, text string, n_lines long")
+    out = pages.select(F.col(key).alias("key"), F.col(page).alias("page")).mapInArrow(returning(run), f"key {kind}, text string, n_lines long")
     return out.withColumnRenamed("key", key)

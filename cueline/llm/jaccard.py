@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Staged, small_batches
+from .common import Staged, returning, small_batches
 from .components import components
 from .shingles import shingle_sets
 
@@ -80,7 +80,7 @@ def _rows(docs: DataFrame, width: int) -> DataFrame:
         if held:
             yield seen(b.column("key").type)
 
-    return docs.mapInArrow(scan, f"kind int, key {docs.schema['key'].dataType.simpleString()}, n long, cls binary, gram long")
+    return docs.mapInArrow(returning(scan), f"kind int, key {docs.schema['key'].dataType.simpleString()}, n long, cls binary, gram long")
 
 
 def _common(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -145,7 +145,7 @@ def _leading_rows(docs: DataFrame, common: tuple[np.ndarray, np.ndarray, np.ndar
             kinds = [pa.binary(), *[pa.int64()] * 3, *[pa.list_(pa.int64())] * 3]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["cls", "n", "p", "place", "rare", "often", "slots"])
 
-    return docs.mapInArrow(scan, "cls binary, n long, p long, place long, rare array<long>, often array<long>, slots array<long>")
+    return docs.mapInArrow(returning(scan), "cls binary, n long, p long, place long, rare array<long>, often array<long>, slots array<long>")
 
 
 def _possible(count: Column, percent: int) -> Column:
@@ -194,7 +194,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, members: DataFrame, node: Column, w
             sets = [s for s in shingle_sets(b.column("text"), width) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([_class(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["cls", "grams"])
 
-    found = texts.select("text").mapInArrow(scan, "cls binary, grams array<long>").select(node.alias("node"), "grams")
+    found = texts.select("text").mapInArrow(returning(scan), "cls binary, grams array<long>").select(node.alias("node"), "grams")
     return found.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("grams").alias("grams"))
 
 

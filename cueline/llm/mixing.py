@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Staged, small_batches, small_side, with_row_id
+from .common import Staged, returning, small_batches, small_side, with_row_id
 
 #: Patterns that may be gathered on the driver. A corpus with more distinct source sets is refused.
 MAX_PATTERNS = 100_000
@@ -40,7 +40,7 @@ def with_word_count(df: DataFrame, text: str, out: str) -> DataFrame:
             n = [len(v.as_buffer().to_pybytes().split()) if v.is_valid else 0 for v in b.column(text)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(n, pa.int64())], [*kept, out])
 
-    return df.withColumn(text, F.col(text).cast("binary")).mapInArrow(count, schema)
+    return df.withColumn(text, F.col(text).cast("binary")).mapInArrow(returning(count), schema)
 
 
 def capped_targets(sizes: list[int], weights: list[float], total: float, cap: float) -> list[float]:

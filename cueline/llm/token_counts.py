@@ -15,7 +15,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Staged, fresh_path, small_batches
+from .common import Staged, fresh_path, returning, small_batches
 from .tokenizing import CountEncoder, encoder
 
 CACHE_SCHEMA = "version string, digest binary, n_tokens long"
@@ -62,7 +62,7 @@ def append_misses(docs: DataFrame, *, text: str, tokenizer: str, cache: str, ver
     # copies meet within a task before the exchange, so one text with a third of all rows costs a row per task
     distinct = keyed.groupBy("digest").agg(F.first("text").alias("text"))
     misses = distinct.join(stored_counts(spark, cache, version), "digest", "left_anti")
-    misses.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache)
+    misses.mapInArrow(returning(encode), CACHE_SCHEMA).write.mode("append").parquet(cache)
 
 
 def token_counts(docs: DataFrame, *, tokenizer: str, limit: int, key: str = "doc_id", text: str = "text", cache: str | None = None) -> DataFrame:

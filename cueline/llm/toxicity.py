@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept_for, small_batches
+from .common import kept_for, returning, small_batches
 
 SENTENCE = re.compile(r"[^.!?\n。！？]+[.!?。！？]*")
 WORD = re.compile(r"[^\W\d_]+")
@@ -176,7 +176,7 @@ def score_documents(docs: DataFrame, model: Model, *, key: str = "doc_id", text:
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), held_out(key).alias("held_out"), F.col(text).alias("text"))
-    out = rows.mapInArrow(score, f"key {kind}, held_out boolean, score double, predicted int, offending array<struct<start: int, end: int, chance: double>>")
+    out = rows.mapInArrow(returning(score), f"key {kind}, held_out boolean, score double, predicted int, offending array<struct<start: int, end: int, chance: double>>")
     return out.withColumnRenamed("key", key)
 
 
@@ -191,7 +191,7 @@ def keep_clean(docs: DataFrame, model: Model, *, text: str = "text", threshold:
         for b in batches:
             yield b.filter(pa.array([scorer.document(t.as_py() or "")[0] < threshold for t in b.column(text)], pa.bool_()))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return docs.mapInArrow(returning(clean), docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = 0.7) -> DataFrame:

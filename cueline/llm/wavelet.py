@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, small_batches
+from .common import fresh_path, returning, small_batches
 from .tokenizing import IdEncoder, encoder
 
 MAGIC = b"WVMX1"
@@ -209,7 +209,7 @@ def write_shards(docs: DataFrame, path: str, *, key: str, text: str, tokenizer:
             yield flush()
 
     dealt = docs.repartitionByRange(parts, F.col("k").asc_nulls_first()).sortWithinPartitions(F.col("k").asc_nulls_first(), "t")
-    dealt.mapInArrow(pack, SHARD_SCHEMA).write.option("compression", "none").parquet(path)
+    dealt.mapInArrow(returning(pack), SHARD_SCHEMA).write.option("compression", "none").parquet(path)
 
 
 def read_documents(shards: DataFrame, *, key: str, key_type: str = "long") -> DataFrame:
@@ -228,7 +228,7 @@ def read_documents(shards: DataFrame, *, key: str, key_type: str = "long") -> Da
                     ["part", "seq", "k", "local", "n_tokens", "ids_crc32"],
                 )
 
-    rows = shards.select("part", "seq", "file").mapInArrow(unpack, "part int, seq int, k long, local long, n_tokens long, ids_crc32 long")
+    rows = shards.select("part", "seq", "file").mapInArrow(returning(unpack), "part int, seq int, k long, local long, n_tokens long, ids_crc32 long")
     # ids before each shard: within groups of 1024 parts, then over the groups
     small = shards.select("part", "seq", "n_tokens", F.expr("part div 1024").alias("many"))
     inner = Window.partitionBy("many").orderBy("part", "seq")
