@@ -20,7 +20,7 @@ ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 #: Rows and bytes in one Arrow batch: they bound what a Python worker holds at once (a longer row is a batch of its own).
-BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +68,15 @@ class Staged:
         delete_path(self.spark, self.path)
 
 
+def forget_finished(spark: SparkSession) -> None:
+    """Have the driver look for broadcasts and shuffles that nothing refers to: Spark removes them from the executors only then.
+
+    A driver whose heap is seldom full collects seldom, and its executors keep what finished queries sent them.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Lower the session's Arrow batch sizes, in rows and bytes, so that long texts do not pile up in a worker."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -146,9 +155,13 @@ def kept_for(operator: str) -> dict:
 
 
 def returning(scan: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The function of a task's batches, whose worker gives its free memory back at the task's end: idle workers wait beside busy ones."""
+    """The function of a task's batches, whose worker gives its free memory back at the task's end: idle workers wait beside busy ones.
+
+    Batches come from the system's allocator, which gives back at ``give_back`` what Arrow's own pool would hold.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
         try:
             yield from scan(batches)
         finally:

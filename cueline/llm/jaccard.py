@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Staged, returning, small_batches
+from .common import Staged, forget_finished, returning, small_batches
 from .components import components
 from .shingles import shingle_sets
 
@@ -292,6 +292,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     sizes = Staged(lead.df.select("node", "n", "p", "place").distinct(), "sizes")
     index = Staged(_columns(lead.df), "index")
     lead.drop()
+    forget_finished(spark)
 
     def links_among(pairs: DataFrame) -> Staged:
         pairs = Staged(pairs, "pairs")
@@ -300,6 +301,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         links = Staged(_complete(pairs.df, sets.df, percent), "links")
         for t in (pairs, nodes, sets):
             t.drop()
+        forget_finished(spark)
         return links
 
     links = links_among(_accumulate(_star(index.df, sizes.df, percent), percent))

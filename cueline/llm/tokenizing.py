@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from .common import kept_for, single_threaded
 
 #: Pieces in one generation of a worker's cache; two generations are kept.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 250_000
 #: A piece of more characters than this is not kept.
 LONG_PIECE = 64
 #: Marks that may end a piece of letters; they are tokens of their own.

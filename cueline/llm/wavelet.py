@@ -25,7 +25,7 @@ from .tokenizing import IdEncoder, encoder
 MAGIC = b"WVMX1"
 RANK_BITS, BLOCK_BYTES = 4096, 1 << 16
 #: Bytes of text that a task should get, and ids after which a task begins its next file.
-TASK_BYTES, SHARD_TOKENS = 24 << 20, 6_000_000
+TASK_BYTES, SHARD_TOKENS = 24 << 20, 2_000_000
 
 
 class WaveletMatrix:
@@ -68,9 +68,11 @@ class WaveletMatrix:
             put(f"r{level}", np.concatenate([[0], np.cumsum(ends)]).astype("<u8").tobytes())
             for k in range(0, len(packed), BLOCK_BYTES):
                 put(f"b{level}.{k // BLOCK_BYTES}", packed[k : k + BLOCK_BYTES].tobytes())
-            low = left[~one]
-            zeros.append(len(low))
-            left = np.concatenate([low, left[one]])
+            zeros.append(len(left) - int(np.count_nonzero(one)))
+            parted = np.empty_like(left)
+            np.compress(one, left, out=parted[zeros[-1] :])
+            np.compress(np.logical_not(one, out=one), left, out=parted[: zeros[-1]])
+            left = parted
         head = json.dumps({"n": len(ids), "levels": levels, "zeros": zeros, "sections": sections, "doc_ids": doc_ids}).encode()
         return b"".join([MAGIC, struct.pack("<I", len(head)), head, *chunks])
 
@@ -190,7 +192,9 @@ def write_shards(docs: DataFrame, path: str, *, key: str, text: str, tokenizer:
         held = 0
 
         def flush() -> pa.RecordBatch:
-            blob = WaveletMatrix.build(np.concatenate(ids), lengths, keys)
+            every = np.concatenate(ids)
+            ids.clear()
+            blob = WaveletMatrix.build(every, lengths, keys)
             return pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([held], pa.int64()), pa.array([blob], pa.binary())],
                 ["part", "seq", "n_docs", "n_tokens", "file"],
