@@ -77,6 +77,18 @@ def forget_finished(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def shrink_heaps(spark: SparkSession) -> None:
+    """Have the executors collect their heaps, so that the JVMs return what an earlier stage grew them by.
+
+    JVM and Python workers share an executor's memory, and a grown heap is not given back before a full collection. Tasks that only
+    ask for one are dealt over the cluster's cores; an executor that gets none keeps its heap, and no result hangs on it.
+    """
+    forget_finished(spark)
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    asked = spark.range(0, tasks, 1, tasks).select(F.expr("java_method('java.lang.System', 'gc')").alias("asked"))
+    asked.write.format("noop").mode("overwrite").save()
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Lower the session's Arrow batch sizes, in rows and bytes, so that long texts do not pile up in a worker."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -28,16 +28,17 @@ _BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = 0x2545F4914F6CDD1D
-_powers: dict[int, np.ndarray] = {}
 
 
 def _power(base: int, n: int) -> np.ndarray:
     """The first n powers; n is at most CHUNK + 2, so what is kept is bounded."""
-    if base not in _powers or len(_powers[base]) < n:
+    powers = kept_for("shingles")
+    if base not in powers or len(powers[base]) < n:
         steps = np.full(max(n, CHUNK + 2), base, dtype=_U)
         steps[0] = 1
-        _powers[base] = np.cumprod(steps, dtype=_U)
-    return _powers[base][:n]
+        with np.errstate(over="ignore"):
+            powers[base] = np.cumprod(steps, dtype=_U)
+    return powers[base][:n]
 
 
 def _raw_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,7 +109,6 @@ def shingle_sets(column: pa.Array, width: int = 5) -> Iterator[np.ndarray]:
 
     A text of fewer than ``width`` words is one shingle.
     """
-    kept_for("shingles")  # beside the powers nothing is kept
     with np.errstate(over="ignore"):
         waiting: list[np.ndarray] = []
         size = 0

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from cueline.llm import jaccard as J
-from cueline.llm import shingles
+from cueline.llm import common, shingles
 from cueline.llm.components import components
 from rows import WORDS, awkward, clashing, table
 
@@ -63,7 +63,7 @@ def test_shingles_match_python(monkeypatch, chunk):
 def test_kept_powers_are_bounded():
     text = b"x" * (3 * shingles.CHUNK + 5)
     assert len(list(shingles.shingle_sets(pa.array([text, b"a " + text], pa.binary())))) == 2
-    assert all(len(p) <= shingles.CHUNK + 2 for p in shingles._powers.values())
+    assert all(len(p) <= shingles.CHUNK + 2 for p in common.kept_for("shingles").values())
 
 
 @pytest.mark.parametrize(("least", "slot", "bits"), [(8, 1000, 64), (2, 2, 64), (2, 5, 12)])
