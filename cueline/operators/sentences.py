@@ -134,28 +134,33 @@ def job_text(rows: DataFrame) -> DataFrame:
     return rows.groupBy("job_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x.text), "").alias("text"))
 
 
-def quality(index: DataFrame) -> DataFrame:
-    """One row a job: numbers that tell a usable transcript from a bad one, a score, a recommendation and its reasons."""
+def quality(index: DataFrame, *, second: float = 1, rounded: bool = True) -> DataFrame:
+    """One row a job: numbers that tell a usable transcript from a bad one, a score, a recommendation and its reasons.
+
+    ``second`` is a second in the unit of the index's times: spans meet their limits in that unit, so that whole milliseconds are compared exactly. Without ``rounded``, ratios, seconds and score
+    are left as computed.
+    """
     span = F.col("end") - F.col("start")
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x.text), "")
     q = index.groupBy("job_id").agg(
-        F.count("*").alias("sentence_count"), (F.max("end") - F.min("start")).alias("duration"), F.max(span).alias("max_sentence_duration"), F.count_if(span > 30).alias("long_sentence_count"), whole.alias("t")
+        F.count("*").alias("sentence_count"), (F.max("end") - F.min("start")).alias("duration"), F.max(span).alias("max_sentence_duration"), F.count_if(span > 30 * second).alias("long_sentence_count"), whole.alias("t")
     )
     q = q.withColumns({"noise_token_ratio": T.noise_share(F.col("t")), "chinese_char_ratio": T.han_share(F.col("t")), "repeated_char_run_count": T.repeated_runs(F.col("t"))})
     long, noise, han, runs, most = (F.col(c) for c in ("long_sentence_count", "noise_token_ratio", "chinese_char_ratio", "repeated_char_run_count", "max_sentence_duration"))
     loss = (
-        F.least(F.lit(0.35), 0.035 * long) + F.least(F.lit(0.25), 1.2 * noise) + F.when(han < 0.55, 0.20).otherwise(0.0)
-        + F.least(F.lit(0.15), 0.01 * runs) + F.when(most > 90, 0.15).otherwise(0.0)
+        F.least(F.lit(0.35), 35 * long / 1000) + F.least(F.lit(0.25), 1.2 * noise) + F.when(han < 0.55, 0.20).otherwise(0.0)
+        + F.least(F.lit(0.15), runs / 100) + F.when(most > 90 * second, 0.15).otherwise(0.0)
     )
-    score = F.bround(F.greatest(F.lit(0.0), 1 - loss), 3)
+    score = F.greatest(F.lit(0.0), 1 - loss)
     reasons = F.filter(
         F.array(
-            F.when(most > 60, "sentence_timestamps_have_large_spans"), F.when(long > 0, "many_sentences_are_longer_than_30_seconds"), F.when(noise > 0.08, "noise_tokens_are_frequent"),
+            F.when(most > 60 * second, "sentence_timestamps_have_large_spans"), F.when(long > 0, "many_sentences_are_longer_than_30_seconds"), F.when(noise > 0.08, "noise_tokens_are_frequent"),
             F.when(han < 0.55, "recognized_text_has_low_chinese_character_ratio"), F.when(runs > 0, "recognized_text_contains_repeated_character_runs"),
         ),
         lambda r: r.isNotNull(),
     )
     q = q.withColumns({"score": score, "reasons": reasons})
-    bad = (F.col("score") < 0.7) | (long > 0) | (most > 60)
-    rounded = {c: F.bround(c, 3) for c in ("duration", "max_sentence_duration")} | {c: F.bround(c, 4) for c in ("noise_token_ratio", "chinese_char_ratio")}
-    return q.withColumn("recommendation", F.when(bad, "prefer_subtitle_or_ocr").otherwise("asr_usable")).withColumns(rounded).drop("t")
+    bad = (F.bround("score", 3) < 0.7) | (long > 0) | (most > 60 * second)
+    q = q.withColumn("recommendation", F.when(bad, "prefer_subtitle_or_ocr").otherwise("asr_usable")).withColumns({c: F.col(c) / second for c in ("duration", "max_sentence_duration")})
+    digits = {"duration": 3, "max_sentence_duration": 3, "noise_token_ratio": 4, "chinese_char_ratio": 4, "score": 3} if rounded else {}
+    return q.withColumns({c: F.bround(c, n) for c, n in digits.items()}).drop("t")

@@ -103,13 +103,11 @@ _QUALITY = f"""whole AS (SELECT job_id, count(*) AS n, max(end_) - min(start_) A
 @query(V.with_views("segments") + "," + _QUALITY + """ SELECT job_id, n AS sentence_count, duration AS duration_ms, longest AS max_sentence_ms, long AS long_sentence_count, runs AS repeated_runs, round(noise * 1e6)::BIGINT AS noise_ppm,
     round(han * 1e6)::BIGINT AS han_ppm, round(1000 * greatest(0, 1 - (least(0.35, 0.035 * long) + least(0.25, 1.2 * noise) + CASE WHEN han < 0.55 THEN 0.2 ELSE 0 END + least(0.15, 0.01 * runs) + CASE WHEN longest > 90000 THEN 0.15 ELSE 0 END)))::BIGINT AS score_milli FROM rated""")
 def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = V.segments(spark, sf_dir)
-    q = N.quality(s.withColumns({"start": F.col("start") / 1000, "end": F.col("end") / 1000}))
-    ms = lambda c: F.rint(F.col(c) * 1000).cast("long")
-    ppm = lambda c: F.rint(F.col(c) * 1e6).cast("long")
+    q = N.quality(V.segments(spark, sf_dir), second=1000, rounded=False)
+    part = lambda c, of: F.round(F.col(c) * of).cast("long")
     return q.select(
-        "job_id", "sentence_count", ms("duration").alias("duration_ms"), ms("max_sentence_duration").alias("max_sentence_ms"), "long_sentence_count", F.col("repeated_char_run_count").cast("long").alias("repeated_runs"),
-        ppm("noise_token_ratio").alias("noise_ppm"), ppm("chinese_char_ratio").alias("han_ppm"), ms("score").alias("score_milli"),
+        "job_id", "sentence_count", part("duration", 1000).alias("duration_ms"), part("max_sentence_duration", 1000).alias("max_sentence_ms"), "long_sentence_count", F.col("repeated_char_run_count").cast("long").alias("repeated_runs"),
+        part("noise_token_ratio", 1e6).alias("noise_ppm"), part("chinese_char_ratio", 1e6).alias("han_ppm"), part("score", 1000).alias("score_milli"),
     )
 
 

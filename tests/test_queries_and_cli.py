@@ -34,6 +34,17 @@ def test_query_equals_sql(spark, sf, db, name):
         assert sorted([tuple(plain(r[c]) for c in columns) for r in rows], key=repr) == sorted([tuple(plain(r[i]) for i in place) for r in want.fetchall()], key=repr)
 
 
+def test_quality_report_compares_and_rounds_like_its_sql(spark, tmp_path):
+    """Turns of exactly 30, 60 and 90 seconds at many starts, and ratios that four digits don't hold."""
+    texts = ["x" * 1500, "x" * 1501, "今" * 3000, "嗯" + "今" * 31, "嗯a今" * 7 + "b"]
+    rows = [(n * 5 + k, t, "user", text) for n in range(40) for k, last in enumerate(texts) for t, text in enumerate(["y" * (n * 7), last, "今" * 4500])]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want, got = con.sql(queries.ORACLE["quality_report"]), queries.quality_report(spark, str(tmp_path))
+    assert sorted(tuple(r) for r in got.select(want.columns).collect()) == sorted(want.fetchall())
+
+
 def test_entry_points(spark):
     assert set(queries.QUERIES) <= set(entry_points.queries()) and set(queries.ORACLE) <= set(entry_points.oracle_sql())
     assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
