@@ -24,6 +24,14 @@ LONG_PIECE = 64
 #: Marks that may end a piece of letters; they are tokens of their own.
 _MARKS = frozenset(",.;:!?|")
 
+#: ASCII marks that may follow a word in a piece, also many of them.
+_TAIL_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: A word, after a line end or none, of letters that every version of Unicode in use calls so; pieces of others are learned whole.
+_LETTERS = (
+    "^\n?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0388-\u038a\u038e-\u03a1\u03a3-\u03ce\u0410-\u044f\u0451-\u045f"
+    "\u05d0-\u05ea\u0621-\u063a\u0641-\u064a\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]+$"
+)
+
 _ODD_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0                　"
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: Texts of which not every space and line end stands alone between two other characters.
@@ -90,28 +98,60 @@ class PieceCache:
 
 
 class PieceTable:
-    """piece -> bytes as two Arrow columns, for the pieces that most batches use: all pieces of a batch are looked up at once, without a Python object each."""
+    """piece -> bytes as two Arrow columns, for the pieces that most batches use: all pieces of a batch are looked up at once, without a Python object each.
+
+    Marks after a word have a value of their own, so that a word is held once whatever follows it. ``learn`` gives the values of
+    pieces, ``learn_marks`` those of marks.
+    """
 
-    def __init__(self, learn: Callable[[Sequence[str]], list[bytes]], marks: list[bytes]):
+    def __init__(self, learn: Callable[[Sequence[str]], pa.Array], learn_marks: Callable[[Sequence[str]], list[bytes]]):
         self.pieces, self.values, self.uses = pa.array([], pa.string()), pa.array([], pa.large_binary()), np.zeros(0, np.int64)
         self.floor = 0
-        self.learn = learn
-        self.marks = dict(zip(sorted(_MARKS), marks, strict=True))
+        self.learn, self.learn_marks = learn, learn_marks
+        self.marks: dict[str, bytes] = {}
 
     def look_up(self, wanted: pa.Array) -> pa.Array:
         """The values of distinct pieces; those that the table lacks are learned and kept in it."""
-        found = pc.index_in(wanted, value_set=self.pieces)
-        at, lacks = found.fill_null(0).to_numpy().astype(np.int64), found.is_null().to_numpy(zero_copy_only=False)
-        self.uses[at[~lacks]] += 1
-        if not lacks.any():
+        trimmed = pc.ascii_rtrim(wanted, characters=_TAIL_MARKS)
+        ends = np.flatnonzero(pc.less(pc.binary_length(trimmed), pc.binary_length(wanted)).to_numpy(zero_copy_only=False))
+        ends = ends[pc.match_substring_regex(trimmed.take(pa.array(ends)), _LETTERS).to_numpy(zero_copy_only=False)]
+        if not len(ends):
+            return self._values(wanted)
+        is_word = np.zeros(len(wanted), bool)
+        is_word[ends] = True
+        coded = pc.if_else(pa.array(is_word), trimmed, wanted).dictionary_encode()
+        values = self._values(coded.dictionary).take(coded.indices)
+        marks = _ends(wanted.take(pa.array(ends)), trimmed.take(pa.array(ends))).dictionary_encode()
+        marked = pc.binary_join_element_wise(values.take(pa.array(ends)), self._mark_values(marks.dictionary.to_pylist()).take(marks.indices), pa.scalar(b"", pa.large_binary()))
+        at = np.arange(len(wanted))
+        at[ends] = len(wanted) + np.arange(len(ends))
+        return pa.concat_arrays([values, marked]).take(pa.array(at))
+
+    def _mark_values(self, marks: list[str]) -> pa.Array:
+        new = [m for m in marks if m not in self.marks]
+        learned = dict(zip(new, self.learn_marks(new), strict=True))
+        values = pa.array([learned.get(m) or self.marks[m] for m in marks], pa.large_binary())
+        if len(self.marks) > CACHE_PIECES // 10:
+            self.marks = {}
+        self.marks |= {m: v for m, v in learned.items() if len(m) <= LONG_PIECE}
+        return values
+
+    def _values(self, wanted: pa.Array) -> pa.Array:
+        # the batch's pieces are hashed and the table's looked up among them: hashing is the dearer part, and the table is the longer one
+        found = pc.index_in(self.pieces, value_set=wanted)
+        held = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+        self.uses[held] += 1
+        at = np.full(len(wanted), -1, np.int64)
+        at[found.drop_null().to_numpy()] = held
+        lacks = np.flatnonzero(at < 0)
+        if not len(lacks):
             return self.values.take(pa.array(at))
-        new = wanted.filter(pa.array(lacks))
-        values, bases, base_values = self._learned(new.to_numpy(zero_copy_only=False).tolist())
+        new = wanted.take(pa.array(lacks))
+        values = pa.concat_arrays([self.learn(some) for some in batched(new.to_pylist(), 4096)])
         at[lacks] = len(self.values) + np.arange(len(new))
         out = pa.concat_arrays([self.values, values]).take(pa.array(at))
-        for pieces, theirs in ((new, values), (bases, base_values)):
-            short = pc.less_equal(pc.utf8_length(pieces), LONG_PIECE)
-            self.pieces, self.values = pa.concat_arrays([self.pieces, pieces.filter(short)]), pa.concat_arrays([self.values, theirs.filter(short)])
+        short = pc.less_equal(pc.utf8_length(new), LONG_PIECE)
+        self.pieces, self.values = pa.concat_arrays([self.pieces, new.filter(short)]), pa.concat_arrays([self.values, values.filter(short)])
         self.uses = np.concatenate([self.uses, np.full(len(self.pieces) - len(self.uses), self.floor + 1)])
         if len(self.pieces) > 2 * CACHE_PIECES:  # a new piece counts one use more than the least used of those kept last
             kept = np.sort(np.argsort(self.uses, kind="stable")[-2 * CACHE_PIECES :])
@@ -119,21 +159,15 @@ class PieceTable:
             self.floor = int(self.uses.min())
         return out
 
-    def _learned(self, new: list[str]) -> tuple[pa.Array, pa.Array, pa.Array]:
-        """The values of pieces; of words before marks that neither they nor the table hold: pieces and values."""
-        parted = {p: p[:-1] for p in new if p[-1:] in _MARKS and _letters_and_mark(p)}
-        known: dict[str, bytes] = {}
-        if parted:
-            bases = pa.array(dict.fromkeys(parted.values()), pa.string())
-            found = pc.index_in(bases, value_set=self.pieces)
-            held = found.is_valid()
-            known = dict(zip(bases.filter(held).to_pylist(), self.values.take(found.drop_null()).to_pylist(), strict=True))
-        whole = [p for p in new if p not in parted]
-        more = [b for b in dict.fromkeys(parted.values()).keys() - known.keys() - set(whole)]
-        for some in batched(chain(whole, more), 4096):
-            known.update(zip(some, self.learn(some), strict=True))
-        values = [known[parted[p]] + self.marks[p[-1]] if p in parted else known[p] for p in new]
-        return pa.array(values, pa.large_binary()), pa.array(more, pa.string()), pa.array([known[b] for b in more], pa.large_binary())
+
+def _ends(strings: pa.Array, beginnings: pa.Array) -> pa.Array:
+    """What each string has after its beginning."""
+    whole, head = (pc.binary_length(x).to_numpy().astype(np.int64) for x in (strings, beginnings))
+    sizes = whole - head
+    bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    first = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + len(strings)] + head
+    raw = np.frombuffer(strings.buffers()[2], np.uint8)[np.repeat(first - bounds[:-1], sizes) + np.arange(bounds[-1])]
+    return pa.StringArray.from_buffers(len(strings), pa.py_buffer(bounds), pa.py_buffer(raw))
 
 
 def space_pieces(texts: pa.Array) -> pa.ListArray:
@@ -159,31 +193,28 @@ class IdEncoder:
     def __init__(self, path: str):
         self.tokenizer = load(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        self.is_word, self.is_line = np.zeros((2, self.tokenizer.get_vocab_size(with_added_tokens=True)), bool)
+        self.is_start = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
         for token, i in self.tokenizer.get_vocab().items():  # bytes 0x20 and 0x0A are written as these letters
-            self.is_word[i], self.is_line[i] = token[:1] == "\u0120", token[:1] == "\u010a"
-        self.table = PieceTable(self._learn, self._ids(sorted(_MARKS)))
+            self.is_start[i] = token[:1] in ("\u0120", "\u010a")
+        self.table = PieceTable(self._learn, self._ids)
 
     def _ids(self, strings: Sequence[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
 
-    def _learn(self, some: Sequence[str]) -> list[bytes]:
-        """Ids of pieces within a text, those after a space and those after a line end each as parts of one text."""
-        lines, words = [p[1:] for p in some if p[0] == "\n"], [p for p in some if p[0] != "\n"]
-        found = dict(zip([f"\n{p}" for p in lines], self._parts("\n", lines, self.is_line), strict=True))
-        found |= zip(words, self._parts(" ", words, self.is_word), strict=True)
-        return [found[p] for p in some]
-
-    def _parts(self, space: str, strings: list[str], is_start: np.ndarray) -> list[bytes]:
-        """Ids of each string after a space: of all as one text, if an id that begins with the space begins each, and no other does."""
-        text = space + space.join(strings)
-        if strings and len(text.split()) == len(strings):
+    def _learn(self, some: Sequence[str]) -> pa.Array:
+        """Ids of pieces within a text, each after a space unless it begins with a line end.
+
+        All are encoded as one text, if its spaces and line ends are those before pieces and an id begins with each.
+        """
+        parts = [p if p[:1] == "\n" else f" {p}" for p in some]
+        text = "".join(parts)
+        if text.count(" ") + text.count("\n") == len(parts):
             ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
-            starts = np.flatnonzero(is_start[ids])
-            if len(starts) == len(strings) and not starts[0]:
-                raw, at = ids.tobytes(), (starts * self.dtype.itemsize).tolist()
-                return [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)], strict=True)]
-        return self._ids([space + p for p in strings])
+            starts = np.flatnonzero(self.is_start[ids])
+            if len(starts) == len(parts) and not starts[0]:
+                bounds = np.append(starts, len(ids)) * self.dtype.itemsize
+                return pa.Array.from_buffers(pa.large_binary(), len(parts), [None, pa.py_buffer(bounds), pa.py_buffer(ids)])
+        return pa.array(self._ids(parts), pa.large_binary())
 
     def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (none null) one after another, each text's followed by ``end`` if that is given, and the number of each text's."""

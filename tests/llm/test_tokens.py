@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -127,3 +128,42 @@ def test_encoder_keeps_the_pieces_used_most(monkeypatch):
         want = [plain.encode(t, add_special_tokens=False).ids + [0] for t in (text, "", "z " + text)]
         assert ids.tolist() == sum(want, []) and n.tolist() == [len(w) for w in want]
     assert learned.count("w3x") == learned.count("word") == 1
+
+
+def test_a_word_is_learned_once_whatever_marks_follow(monkeypatch):
+    learned = []
+    learn = tokenizing.IdEncoder._learn
+    monkeypatch.setattr(tokenizing.IdEncoder, "_learn", lambda self, some: learned.extend(some) or learn(self, some))
+    path = tokenizing.vocabulary_path("byte_bpe_50k.json")
+    enc, plain = tokenizing.IdEncoder(path), tokenizing.load(path)
+    texts = ["So word!! Größe... word, word?\nword\nword*** word's word'", "x " + " ".join(["Größe$$$", "word!!,", "Größe", "!!", "7!!", "é́!!", "word<|endoftext|>", "漢字:)"]), "a word" + "!" * 90 + " b"]
+    for _ in range(2):
+        ids, n = enc.encode(pa.array(texts), 0)
+        want = [[*plain.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+        assert ids.tolist() == sum(want, []) and n.tolist() == [len(w) for w in want]
+    assert sorted(learned) == sorted(["word", "Größe", "\nword", "word's", "!!", "7!!", "é́!!", "word<|endoftext|>", "漢字", "b"])
+
+
+def test_pieces_are_learned_as_one_text_only_if_each_begins_with_its_own_space():
+    path = tokenizing.vocabulary_path("byte_bpe_50k.json")
+    enc, plain = tokenizing.IdEncoder(path), tokenizing.load(path)
+    for some in (["a", "\nb", "c!"], ["a\nb", "", "c"], ["a\tb", "", "c"], ["", "", "d"], ["\n", "e"], ["f ", "g"], ["\xa0", "h\x1c"]):
+        want = [plain.encode(p if p[:1] == "\n" else f" {p}", add_special_tokens=False).ids for p in some]
+        assert [np.frombuffer(v, enc.dtype).tolist() for v in enc._learn(some).to_pylist()] == want, some
+
+
+def test_planes_are_parted_and_undone_in_stretches():
+    """Beside the ids before and after a plane, no array of positions for all of them is held: those take eight bytes an id."""
+    n = 2_000_000
+    ids = np.random.default_rng(5).integers(0, 50_257, n).astype(np.uint16)
+    tracemalloc.start()
+    blob = wavelet.WaveletMatrix.build(ids, [n], [1])
+    built = tracemalloc.get_traced_memory()[1]
+    matrix = wavelet.WaveletMatrix(blob)
+    tracemalloc.reset_peak()
+    held = tracemalloc.get_traced_memory()[0]
+    got = matrix.decode()
+    undone = tracemalloc.get_traced_memory()[1] - held
+    tracemalloc.stop()
+    assert (got == ids).all()
+    assert built < 10 * n and undone < 8 * n, (built / n, undone / n)
